@@ -310,6 +310,6 @@ def near_duplicates(
     rooted = distinct.join(tree, distinct["__fp"] == tree["node"], "left").select("__fp", "low", F.coalesce("root", "__fp").alias("root"))
     rooted = cut(rooted)
     # only components of several fingerprints need to look for their smallest id
-    several = rooted.join(tree.select("root").distinct(), "root", "left_semi").groupBy("root").agg(F.min("low").alias("least"))
+    several = rooted.groupBy("root").agg(F.min("low").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").select("root", "least")
     classes = rooted.join(several, "root", "left").select("__fp", F.coalesce("least", "low").alias("component_id"))
     return own.join(classes, "__fp").select(id_col, F.lpad(F.lower(F.hex("__fp")), 16, "0").alias("fingerprint"), "component_id")
