@@ -292,6 +292,21 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     return forest.select("node", F.col("up").alias("root"))
 
 
+def _classes(df: DataFrame, id_col: str, text_col: str, width: int, max_bits: int, segment_bits: int) -> DataFrame:
+    """(__id, __row, __fp, root, component_id) of every row; __row is the text's hash."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    keyed = df.select(F.col(id_col).alias("__id"), F.xxhash64(text).alias("__row"), F.col(text_col).alias("__own"))
+    own = cut(with_fingerprints(keyed, keys=["__id", "__row"], text_col="__own", width=width, name="__fp"))
+    distinct = cut(own.groupBy("__fp").agg(F.min("__id").alias("low")))
+    tree = components(links(distinct, "__fp", max_bits, segment_bits))
+    rooted = distinct.join(tree, distinct["__fp"] == tree["node"], "left").select("__fp", "low", F.coalesce("root", "__fp").alias("root"))
+    rooted = cut(rooted)
+    # only components of several fingerprints need to look for their smallest id
+    several = rooted.groupBy("root").agg(F.min("low").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").select("root", "least")
+    classes = rooted.join(several, "root", "left").select("__fp", "root", F.coalesce("least", "low").alias("component_id"))
+    return own.join(classes, "__fp")
+
+
 def near_duplicates(
     df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 4, max_bits: int = 4, segment_bits: int = SEGMENT_BITS
 ) -> DataFrame:
@@ -304,12 +319,21 @@ def near_duplicates(
     text each give a row. A null id is larger than all others: a component holding only
     null ids has a null component_id. Other columns are not read.
     """
-    own = cut(with_fingerprints(df, keys=[id_col], text_col=text_col, width=width, name="__fp"))
-    distinct = cut(own.groupBy("__fp").agg(F.min(id_col).alias("low")))
-    tree = components(links(distinct, "__fp", max_bits, segment_bits))
-    rooted = distinct.join(tree, distinct["__fp"] == tree["node"], "left").select("__fp", "low", F.coalesce("root", "__fp").alias("root"))
-    rooted = cut(rooted)
-    # only components of several fingerprints need to look for their smallest id
-    several = rooted.groupBy("root").agg(F.min("low").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").select("root", "least")
-    classes = rooted.join(several, "root", "left").select("__fp", F.coalesce("least", "low").alias("component_id"))
-    return own.join(classes, "__fp").select(id_col, F.lpad(F.lower(F.hex("__fp")), 16, "0").alias("fingerprint"), "component_id")
+    done = _classes(df, id_col, text_col, width, max_bits, segment_bits)
+    return done.select(F.col("__id").alias(id_col), F.lpad(F.lower(F.hex("__fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_one(
+    df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 4, max_bits: int = 4, segment_bits: int = SEGMENT_BITS
+) -> DataFrame:
+    """One row of each component of :func:`near_duplicates`: that of the smallest id.
+
+    All its columns stay. Of several such rows, the one whose text has the smallest hash
+    stays; of rows of equal id and text, any one.
+    """
+    done = _classes(df, id_col, text_col, width, max_bits, segment_bits)
+    first = F.min(F.struct(F.col("__id").isNull().alias("null"), F.col("__id").alias("id"), F.col("__row").alias("row")))
+    kept = done.groupBy("root").agg(first.alias("k")).select(F.col("k.id").alias("__k"), F.col("k.row").alias("__r")).distinct()
+    keyed = df.withColumn("__id", F.col(id_col)).withColumn("__row", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    chosen = keyed.join(kept, F.col("__id").eqNullSafe(F.col("__k")) & (F.col("__row") == F.col("__r")), "left_semi")
+    return chosen.dropDuplicates(["__id", "__row"]).drop("__id", "__row")
