@@ -187,22 +187,24 @@ def classify(
 
     paths = cut(docs.where("n_words > 0").groupBy("host", "path").agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("evidence").alias("s")))
     hosts = paths.groupBy("host").agg(F.sum("n").alias("n_h"), F.sum("s").alias("s_h"))
-    total = paths.agg((F.sum("s") / F.sum("n")).alias("mean"))
-    # one row, whatever the input
-    strength_h = hosts.crossJoin(F.broadcast(total)).agg(F.first("mean").alias("mean"), _strength(F.col("n_h"), F.col("s_h"), F.col("mean")).alias("k_h"))
-    hosts = hosts.crossJoin(F.broadcast(strength_h)).withColumn("m_h", (F.col("s_h") + F.col("k_h") * F.col("mean")) / (F.col("n_h") + F.col("k_h")))
-    sites = paths.join(hosts.withColumnRenamed("host", "h2"), F.col("host").eqNullSafe(F.col("h2"))).drop("h2")
-    strength_p = sites.agg(_strength(F.col("n"), F.col("s"), F.col("m_h")).alias("k_p"))
-    sites = sites.crossJoin(F.broadcast(strength_p)).select(F.col("host").alias("h2"), F.col("path").alias("p2"), "n", "s", "n_h", "s_h", "k_h", "k_p", "mean")
+    # three numbers that all sites share
+    mean = paths.agg(F.sum("s") / F.sum("n")).first()[0]
+    mean = prior if mean is None else mean
+    k_h = hosts.agg(_strength(F.col("n_h"), F.col("s_h"), F.lit(mean))).first()[0]
+    hosts = hosts.withColumn("m_h", (F.col("s_h") + k_h * mean) / (F.col("n_h") + k_h))
+    sites = cut(paths.join(hosts.withColumnRenamed("host", "h2"), F.col("host").eqNullSafe(F.col("h2"))).drop("h2"))
+    k_p = sites.agg(_strength(F.col("n"), F.col("s"), F.col("m_h"))).first()[0]
+    sites = sites.select(F.col("host").alias("h2"), F.col("path").alias("p2"), "n", "s", "n_h", "s_h")
 
     both = docs.join(sites, F.col("host").eqNullSafe(F.col("h2")) & F.col("path").eqNullSafe(F.col("p2")), "left")
     # without the document itself, whose evidence comes on its own
     e = F.col("evidence")
-    host = (F.col("s_h") - e + F.col("k_h") * F.col("mean")) / (F.col("n_h") - 1 + F.col("k_h"))
-    path = (F.col("s") - e + F.col("k_p") * F.col("host_posterior")) / (F.col("n") - 1 + F.col("k_p"))
+    host = (F.col("s_h") - e + k_h * mean) / (F.col("n_h") - 1 + k_h)
+    path = (F.col("s") - e + k_p * F.col("host_posterior")) / (F.col("n") - 1 + k_p)
     both = both.withColumn("host_posterior", host).withColumn("path_posterior", path)
-    shift = F.least(F.greatest(_logit(F.col("path_posterior")) - _logit(F.col("mean")), F.lit(-most_shift)), F.lit(most_shift))
-    z = shift + _logit(F.col("mean")) + _logit(e) - _logit(F.lit(prior))
+    usual = _logit(F.lit(mean))
+    shift = F.least(F.greatest(_logit(F.col("path_posterior")) - usual, F.lit(-most_shift)), F.lit(most_shift))
+    z = shift + usual + _logit(e) - _logit(F.lit(prior))
     final = F.when(F.col("n_words") > 0, 1 / (1 + F.exp(-z))).otherwise(F.lit(0.0))
     done = both.withColumn("score", final)
     return done.select("id", "row", "evidence", "host_posterior", "path_posterior", "score", ((F.col("score") >= threshold) & (F.col("n_words") > 0)).alias("kept"))
