@@ -1,11 +1,11 @@
 """SimHash near-duplicate detection (operator 10).
 
 Method: a fingerprint's 64 bits are cut into segments, and the vector of the segments'
-bit counts embeds it so that Manhattan distance never exceeds Hamming distance. Two
-vectors within ``max_bits`` agree, on one of the embedding's two halves, to within half of
-that; such halves share a grid cell at or beside both, the one halfway between them. So
-every distinct fingerprint is put into the cells around both of its halves, and only
-fingerprints that meet in a cell are compared, exactly, by their differing bits.
+bit counts embeds it so that Manhattan distance never exceeds Hamming distance. Of a few
+parts of the embedding, two vectors within ``max_bits`` agree on one to within two; such
+parts share a grid cell at or beside both, the one halfway between them. So every distinct
+fingerprint is put into the cells around all of its parts, and only fingerprints that meet
+in a cell are compared, exactly, by their differing bits.
 
 Scale: exact copies collapse to one fingerprint before the join, each fingerprint makes a
 fixed number of cell rows, and a cell yields a spanning forest of its links, never all
@@ -15,7 +15,6 @@ pairs. Components come from min-label contraction in DataFrames, cut by checkpoi
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations_with_replacement
 
 import numpy as np
 import pyarrow as pa
@@ -130,38 +129,31 @@ def embed(fps: np.ndarray, segment_bits: int = SEGMENT_BITS) -> np.ndarray:
     return _ones(fps).reshape(len(fps), 64 // segment_bits, segment_bits).sum(axis=2, dtype=np.int8)
 
 
-def _moves(dims: int, radius: int) -> np.ndarray:
-    """All integer vectors of Manhattan length up to ``radius``."""
-    steps = [s * np.eye(dims, dtype=np.int8)[d] for d in range(dims) for s in (1, -1)]
-    found = {tuple(np.zeros(dims, np.int8))}
-    for r in range(1, radius + 1):
-        for some in combinations_with_replacement(range(len(steps)), r):
-            found.add(tuple(np.sum([steps[i] for i in some], axis=0, dtype=np.int8)))
-    return np.array(sorted(found), np.int8)
+def _moves(dims: int) -> np.ndarray:
+    """All integer vectors of Manhattan length 0 or 1."""
+    one = np.eye(dims, dtype=np.int64)
+    return np.concatenate([np.zeros((1, dims), np.int64), one, -one])
 
 
 def cells(fps: np.ndarray, max_bits: int, segment_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """(index of the fingerprint, cell) for the cells around both halves of its vector.
+    """(index of the fingerprint, cell) for the cells around all parts of its vector.
 
-    One half of two vectors within ``max_bits`` is within ``max_bits // 2``; the cells
-    within half of that, rounded up, around each have one in common.
+    With p parts, one part of two vectors within ``max_bits`` is within ``max_bits // p``;
+    p is such that this is 2 at most. The cells within 1 around each have one in common.
     """
     vectors = embed(fps, segment_bits).astype(np.int64)
-    dims = vectors.shape[1] // 2
-    radius = (max_bits // 2 + 1) // 2
-    base = segment_bits + 1
-    powers = np.array([base**k for k in range(dims)], np.uint64)
+    parts = max_bits // 3 + 1
     who, what = [], []
-    for half in (0, 1):
-        own = vectors[:, half * dims : (half + 1) * dims]
-        code = (own.astype(np.uint64) * powers).sum(axis=1, dtype=np.uint64)
-        for move in _moves(dims, radius).astype(np.int64):
+    for part, dims in enumerate(np.array_split(np.arange(vectors.shape[1]), parts)):
+        own = vectors[:, dims]
+        powers = (segment_bits + 1) ** np.arange(len(dims), dtype=np.int64)
+        code = own @ powers
+        for move in _moves(len(dims)):
             at = np.flatnonzero(move)
             near = own[:, at] + move[at]
             ok = ((near >= 0) & (near <= segment_bits)).all(axis=1)
-            shifted = code[ok] + np.uint64(int((move * powers.astype(np.int64)).sum()) % 2**64)
             who.append(np.flatnonzero(ok))
-            what.append(shifted << np.uint64(1) | np.uint64(half))
+            what.append((code[ok] + int(move @ powers)) * parts + part)
     return np.concatenate(who), np.concatenate(what)
 
 
@@ -226,7 +218,7 @@ def links(fps: DataFrame, column: str, max_bits: int, segment_bits: int = SEGMEN
             for i in range(0, len(own), 10_000):
                 part = own[i : i + 10_000]
                 who, what = cells(part, max_bits, segment_bits)
-                yield pa.RecordBatch.from_arrays([pa.array(what.view(np.int64)), pa.array(part[who].view(np.int64))], names=["cell", "fp"])
+                yield pa.RecordBatch.from_arrays([pa.array(what), pa.array(part[who].view(np.int64))], names=["cell", "fp"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, fp = np.zeros(0, np.int64), np.zeros(0, np.uint64)

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import types as T
 
@@ -19,7 +20,7 @@ def plain_fingerprint(text):
     return sum(1 << k for k in range(64) if 2 * sum(h >> k & 1 for h in hashes) > len(hashes))
 
 
-def brute(rows):
+def brute(rows, most=4):
     """Expected (id, hex, component) of (id, fingerprint) rows."""
     root = list(range(len(rows)))
 
@@ -30,7 +31,7 @@ def brute(rows):
 
     for i in range(len(rows)):
         for j in range(i):
-            if (rows[i][1] ^ rows[j][1]).bit_count() <= 4:
+            if (rows[i][1] ^ rows[j][1]).bit_count() <= most:
                 root[find(i)] = find(j)
     least = {}
     for i, (d, _) in enumerate(rows):
@@ -53,17 +54,18 @@ def test_blocks(monkeypatch):
     assert simhash._fingerprints(texts, 4) == [plain_fingerprint(t) for t in texts]
 
 
-def test_embedding_bounds_and_cells_meet():
+@pytest.mark.parametrize("most", [0, 1, 2, 3, 4, 8, 11])
+def test_embedding_bounds_and_cells_meet(most):
     rng = np.random.default_rng(2)
-    fps = rng.integers(0, 2**63, 300, dtype=np.uint64)
+    fps = rng.integers(0, 2**64, 300, dtype=np.uint64)
     other = fps.copy()
     for i in range(len(fps)):
-        for k in rng.choice(64, rng.integers(0, 5), replace=False):
+        for k in rng.choice(64, rng.integers(0, most + 1), replace=False):
             other[i] ^= np.uint64(1 << int(k))
-    for bits in (1, 2, 4):
+    for bits in (2, 4):
         apart = np.abs(simhash.embed(fps, bits).astype(int) - simhash.embed(other, bits)).sum(axis=1)
         assert (apart <= np.bitwise_count(fps ^ other)).all()
-        (w1, c1), (w2, c2) = simhash.cells(fps, 4, bits), simhash.cells(other, 4, bits)
+        (w1, c1), (w2, c2) = simhash.cells(fps, most, bits), simhash.cells(other, most, bits)
         met = {(i, c) for i, c in zip(w1.tolist(), c1.tolist())} & {(i, c) for i, c in zip(w2.tolist(), c2.tolist())}
         assert {i for i, _ in met} == set(range(300))
 
