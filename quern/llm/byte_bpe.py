@@ -54,7 +54,7 @@ class ByteBPE:
         self.table = PairTable(np.array(left, np.int64), np.array(right, np.int64), order, order)
         self._cache: dict[str, tuple[int, ...]] = {}
 
-    def _matrix(self, pieces: list[bytes], width: int) -> list[list[int]]:
+    def _matrix(self, pieces: list[bytes], width: int) -> list[tuple[int, ...]]:
         """Ids of pieces of 2 to ``width`` bytes."""
         n = len(pieces)
         lengths = np.array([len(p) for p in pieces])
@@ -63,14 +63,19 @@ class ByteBPE:
         rank = np.full((n, width - 1), NEVER, np.int32)
         i, j = np.nonzero(ids[:, 1:] >= 0)
         rank[i, j] = self.table.ranks(ids[i, j], ids[i, j + 1])
-        rows, out = np.arange(n), [[]] * n
+        rows, out = np.arange(n), [()] * n
+
+        def finish(rows: np.ndarray, ids: np.ndarray) -> None:
+            """Rows that leave: what is not padding, which is on the right."""
+            for r, own, k in zip(rows.tolist(), ids.tolist(), (ids >= 0).sum(axis=1).tolist()):
+                out[r] = tuple(own[:k])
+
         while len(rows):
             at = rank.argmin(axis=1)
             every = np.arange(len(rows))
             best = rank[every, at]
             if (done := best == NEVER).any():
-                for r, own in zip(rows[done], ids[done]):
-                    out[r] = own[own >= 0].tolist()
+                finish(rows[done], ids[done])
                 ids, rank, rows, at, best = ids[~done], rank[~done], rows[~done], at[~done], best[~done]
                 every = np.arange(len(rows))
                 if not len(rows):
@@ -90,8 +95,7 @@ class ByteBPE:
                 rank[r, c] = NEVER
                 rank[r[real], c[real]] = self.table.ranks(a[real], b[real])
             if not rank.shape[1]:
-                for r, own in zip(rows, ids):
-                    out[r] = own[own >= 0].tolist()
+                finish(rows, ids)
                 break
         return out
 
@@ -111,7 +115,7 @@ class ByteBPE:
             for i in range(0, len(own), _ROWS):
                 part = own[i : i + _ROWS]
                 for (w, _), ids in zip(part, self._matrix([b for _, b in part], width)):
-                    self._cache[w] = tuple(ids)
+                    self._cache[w] = ids
 
     def _learn(self, words: set[str]) -> None:
         """Have the cache hold all of ``words``."""
