@@ -26,6 +26,40 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+#: Elements of an array that :func:`running` goes through at a time.
+_RUN = 256
+
+
+def running(values: Column, op: Callable[[Column, Column], Column], levels: int = 2) -> Column:
+    """Running values of an associative ``op`` over an array without nulls.
+
+    ``aggregate`` copies its state at every element, so gathering n outputs would take n
+    squared; here it gathers ``_RUN`` at a time, and the runs' totals are combined alike.
+    """
+
+    def short(a: Column) -> Column:
+        start = F.slice(a, 1, 1)
+        return F.aggregate(F.slice(a, 2, F.size(a)), start, lambda out, x: F.array_append(out, op(F.element_at(out, -1), x)))
+
+    def long(a: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.size(a), F.lit(_RUN))
+        runs = F.transform(starts, lambda i: short(F.slice(a, i, _RUN)))
+
+        def joined(runs: Column) -> Column:
+            totals = running(F.transform(runs, lambda r: F.element_at(r, -1)), op, levels - 1)
+
+            def shifted(totals: Column) -> Column:
+                return F.flatten(F.transform(runs, lambda r, k: F.when(k == 0, r).otherwise(F.transform(r, lambda x: op(F.get(totals, k - 1), x)))))
+
+            return let(totals, shifted)
+
+        return let(runs, joined)
+
+    if not levels:
+        return short(values)
+    return let(values, lambda a: F.when(F.size(a) <= _RUN, short(a)).otherwise(long(a)))
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z; every other character stays (``lower`` would change more)."""
     return F.translate(text, UPPER, LOWER)

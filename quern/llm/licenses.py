@@ -16,11 +16,12 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, let
+from .common import ascii_lower, let, running
 from .license_rules import Rule, rules
 
 #: No rule or phrase matches a text without one of these.
 STEMS = ("licen", "gpl", "spdx", "apache", "bsd", "mozilla", "cc ", "cc0", "creative commons", "public domain", "proprietary", "rights", "droits", "rechte", "derechos", "wtfpl", "rail", "opensource", "mit no attribution", "want to public")
+_DETECTION = "struct<start:int,end:int,priority:int,order:int,label:string,confidence:double>"
 #: Anything between words: ASCII other than digits and letters.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -44,15 +45,9 @@ def _found(words: Column, pattern: Column) -> Column:
     """(start, end) in characters of each place where the pattern's words stand."""
 
     def places(x: Column) -> Column:
-        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
-
-        def step(a: Column, m: Column) -> Column:
-            begin = a["at"] + F.length(m["gap"])
-            end = begin + F.length(m["hit"])
-            return F.struct(end.alias("at"), F.array_append(a["out"], F.struct(begin.alias("start"), end.alias("end"))).alias("out"))
-
-        pairs = F.zip_with(F.slice(x["gaps"], 1, F.size(x["hits"])), x["hits"], lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
-        return F.aggregate(pairs, start, step, lambda a: a["out"])
+        sizes = F.zip_with(F.slice(x["gaps"], 1, F.size(x["hits"])), x["hits"], lambda g, h: F.length(g) + F.length(h))
+        ends = running(sizes, lambda a, b: a + b)
+        return F.zip_with(ends, x["hits"], lambda e, h: F.struct((e - F.length(h)).alias("start"), e.alias("end")))
 
     return let(F.struct(F.split(words, pattern, -1).alias("gaps"), F.regexp_extract_all(words, pattern, F.lit(0)).alias("hits")), places)
 
@@ -74,19 +69,18 @@ def _detections(words: Column, table: list[Rule]) -> Column:
 def _standing(detections: Column, priorities: int) -> Column:
     """Detections that no stronger or equal one contains.
 
-    In order of start, an earlier one contains the next if it ends no earlier: the
-    furthest end so far of each priority is all that one pass needs.
+    In order of start, an earlier one contains the next if it ends no earlier: what counts
+    is the furthest end so far of the priorities up to the next one's.
     """
-    kind = "array<struct<start:int,end:int,priority:int,order:int,label:string,confidence:double>>"
-    start = F.struct(F.array_repeat(F.lit(-1), priorities).alias("ends"), F.array().cast(kind).alias("out"))
 
-    def step(a: Column, d: Column) -> Column:
-        end = -d["end"]
-        inside = F.array_max(F.slice(a["ends"], 1, d["priority"])) >= end
-        ends = F.transform(a["ends"], lambda e, i: F.when(i + 1 == d["priority"], F.greatest(e, end)).otherwise(e))
-        return F.struct(ends.alias("ends"), F.when(inside, a["out"]).otherwise(F.array_append(a["out"], d)).alias("out"))
+    def standing(found: Column) -> Column:
+        def ends(p: int) -> Column:
+            return F.transform(found, lambda d: F.when(d["priority"] <= p, -d["end"]).otherwise(-1))
+
+        reach = F.array(*(running(ends(p), F.greatest) for p in range(1, priorities + 1)))
+        return let(reach, lambda m: F.filter(found, lambda d, i: F.coalesce(F.get(F.get(m, d["priority"] - 1), i - 1), F.lit(-1)) < -d["end"]))
 
-    return F.aggregate(detections, start, step, lambda a: a["out"])
+    return F.when(F.size(detections) > 0, let(detections, standing)).otherwise(F.array().cast(f"array<{_DETECTION}>"))
 
 
 def _base(words: Column, phrases: dict[str, str]) -> Column:
@@ -124,7 +118,7 @@ def scan(df: DataFrame, *, keys: list[str], text_col: str, phrases: dict[str, st
         gate = F.lit(False)
         for stem in STEMS:
             gate = gate | F.contains(words, F.lit(stem))
-        none = F.array().cast("array<struct<start:int,end:int,priority:int,order:int,label:string,confidence:double>>")
+        none = F.array().cast(f"array<{_DETECTION}>")
         ruled = F.when(gate, _standing(_detections(words, table), priorities)).otherwise(none)
         return F.struct((_spaces(words) - 1).alias("n_words"), _base(words, phrases).alias("base"), ruled.alias("ruled"))
 
