@@ -142,7 +142,7 @@ ORACLE_SQL["join_band"] = "SELECT p_partkey, c_custkey FROM part, customer WHERE
 _EDGES = """r AS (SELECT DISTINCT l_partkey AS p, l_suppkey AS s FROM lineitem),
     t AS (SELECT DISTINCT l_suppkey AS s, o_custkey AS c FROM lineitem, orders WHERE l_orderkey = o_orderkey),
     u AS (SELECT DISTINCT o_custkey AS c, l_partkey AS p FROM lineitem, orders WHERE l_orderkey = o_orderkey)"""
-_TRIANGLES = f"WITH {_EDGES} SELECT r.s AS s, count(*) AS triangles FROM r, t, u WHERE r.s = t.s AND t.c = u.c AND u.p = r.p GROUP BY r.s"
+_TRIANGLES = f"WITH {_EDGES} SELECT r.s AS s, count(*) AS triangles FROM r, u, t WHERE u.p = r.p AND t.c = u.c AND r.s = t.s GROUP BY r.s"
 _add("join_triangle", _TRIANGLES)
 QUERIES["join_triangle_multiway"] = frames.join_triangle_multiway
 ORACLE_SQL["join_triangle_multiway"] = _TRIANGLES
