@@ -15,8 +15,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from operator import eq
+from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +28,8 @@ from .common import cut
 
 #: Labelled rows that the classifier is fitted on, at most: those of smallest hash.
 SAMPLE_ROWS = 20_000
+#: Sites that are broadcast, at most; more are joined like any table.
+BROADCAST_SITES = 100_000
 #: Bytes of one text that are split into words at a time.
 _PIECE = 8_000_000
 #: Documents' own evidence is held to this many nats either way.
@@ -139,6 +143,75 @@ def _strength(n: Column, s: Column, mean: Column) -> Column:
     return F.least(F.greatest(F.coalesce(k, F.lit(1.0)), F.lit(1.0)), F.lit(1e4))
 
 
+def _evidence(x: np.ndarray, n: np.ndarray, model: Logistic | None, prior: float) -> np.ndarray:
+    """Probability of each text to be good, by itself; 0 without words."""
+    if model is None:
+        z = np.full(len(n), np.log(max(prior, 1e-6) / max(1 - prior, 1e-6)))
+    else:
+        z = model.logits(x)
+    return np.where(n > 0, 1 / (1 + np.exp(-z)), 0.0)
+
+
+class SiteModel(NamedTuple):
+    """What is learnt from all documents: the classifier, and sums and priors of sites."""
+
+    model: Logistic | None
+    prior: float  #: share of good ones among the labels
+    mean: float  #: mean evidence of all documents
+    k_h: float  #: documents that the prior of a host is worth
+    k_p: float  #: documents that the prior of a path is worth
+    sites: DataFrame  #: (h2, p2, n, s, n_h, s_h) of every host and path
+
+    def scored(self, docs: DataFrame, threshold: float, most_shift: float) -> DataFrame:
+        """``docs`` (host, path, evidence) with posteriors, ``score`` and ``kept``."""
+        sites = self.sites
+        if sites.limit(BROADCAST_SITES + 1).count() <= BROADCAST_SITES:
+            sites = F.broadcast(sites)
+        both = docs.join(sites, F.col("host").eqNullSafe(F.col("h2")) & F.col("path").eqNullSafe(F.col("p2")), "left")
+        # without the document itself, whose evidence comes on its own
+        e, some = F.col("evidence"), F.col("evidence") > 0
+        host = (F.col("s_h") - e + self.k_h * self.mean) / (F.col("n_h") - 1 + self.k_h)
+        path = (F.col("s") - e + self.k_p * F.col("host_posterior")) / (F.col("n") - 1 + self.k_p)
+        both = both.withColumn("host_posterior", host).withColumn("path_posterior", path)
+        usual = _logit(F.lit(self.mean))
+        shift = F.least(F.greatest(_logit(F.col("path_posterior")) - usual, F.lit(-most_shift)), F.lit(most_shift))
+        z = shift + usual + _logit(e) - _logit(F.lit(self.prior))
+        done = both.withColumn("score", F.when(some, 1 / (1 + F.exp(-z))).otherwise(F.lit(0.0)))
+        return done.withColumn("kept", (F.col("score") >= threshold) & some).drop("h2", "p2", "n", "s", "n_h", "s_h")
+
+
+def learn(df: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, host_col: str, path_col: str, label_col: str, sample_rows: int) -> tuple[SiteModel, DataFrame]:
+    """The model, and (id, row, host, path, evidence) of every row; row is the text's hash."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    columns = [F.col(id_col).alias("id"), F.xxhash64(text).alias("row"), F.col(host_col).alias("host"), F.col(path_col).alias("path")]
+    known = cut(with_features(df, columns=columns, text_col=text_col))
+    y = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("y")).where("id IS NOT NULL AND y IN (0, 1)")
+    labelled = known.where("__n > 0").select("id", F.col("__x").alias("x")).join(y, "id").withColumn("h", F.xxhash64("id"))
+    model, prior = fit(labelled, sample_rows)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.column("__n").to_numpy()
+            x = batch.column("__x").flatten().to_numpy().reshape(len(n), N_FEATURES)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "row", "host", "path")), pa.array(_evidence(x, n, model, prior))], names=["id", "row", "host", "path", "evidence"])
+
+    kinds = {f.name: f for f in known.schema.fields}
+    schema = T.StructType([*(kinds[c] for c in ("id", "row", "host", "path")), T.StructField("evidence", T.DoubleType())])
+    docs = cut(known.mapInArrow(score, schema))
+
+    paths = cut(docs.where("evidence > 0").groupBy("host", "path").agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("evidence").alias("s")))
+    hosts = paths.groupBy("host").agg(F.sum("n").alias("n_h"), F.sum("s").alias("s_h"))
+    # three numbers that all sites share
+    mean = paths.agg(F.sum("s") / F.sum("n")).first()[0]
+    mean = prior if mean is None else mean
+    k_h = hosts.agg(_strength(F.col("n_h"), F.col("s_h"), F.lit(mean))).first()[0]
+    hosts = hosts.withColumn("m_h", (F.col("s_h") + k_h * mean) / (F.col("n_h") + k_h))
+    sites = cut(paths.join(hosts.withColumnRenamed("host", "h2"), F.col("host").eqNullSafe(F.col("h2"))).drop("h2"))
+    k_p = sites.agg(_strength(F.col("n"), F.col("s"), F.col("m_h"))).first()[0]
+    sites = sites.select(F.col("host").alias("h2"), F.col("path").alias("p2"), "n", "s", "n_h", "s_h")
+    return SiteModel(model, prior, mean, k_h, k_p, sites), docs
+
+
 def classify(
     df: DataFrame,
     labels: DataFrame,
@@ -157,6 +230,7 @@ def classify(
 
     A site moves a document's log odds by at most ``most_shift`` from those of all
     documents, so that good documents of bad sites can stay.
+
     ``labels`` has (id_col, label_col), 0 or 1; null labels and ids are left out, and several
     labels of an id all count. Texts without words have no evidence: their score is 0, they
     are not kept and don't count for their site. Null hosts and paths are sites like
@@ -164,54 +238,34 @@ def classify(
     nothing is known about texts, and all with words are kept unless all labels are 0.
     Other columns are not read; an empty table gives an empty result.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    columns = [F.col(id_col).alias("id"), F.xxhash64(text).alias("row"), F.col(host_col).alias("host"), F.col(path_col).alias("path")]
-    known = cut(with_features(df, columns=columns, text_col=text_col))
-    y = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("y")).where("id IS NOT NULL AND y IN (0, 1)")
-    labelled = known.where("__n > 0").select("id", F.col("__x").alias("x")).join(y, "id").withColumn("h", F.xxhash64("id"))
-    model, prior = fit(labelled, sample_rows)
+    model, docs = learn(df, labels, id_col=id_col, text_col=text_col, host_col=host_col, path_col=path_col, label_col=label_col, sample_rows=sample_rows)
+    return model.scored(docs, threshold, most_shift).select("id", "row", "evidence", "host_posterior", "path_posterior", "score", "kept")
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = batch.column("__n").to_numpy()
-            if model is None:
-                z = np.full(len(n), np.log(max(prior, 1e-6) / max(1 - prior, 1e-6)))
-            else:
-                z = model.logits(batch.column("__x").flatten().to_numpy().reshape(len(n), N_FEATURES))
-            p = 1 / (1 + np.exp(-z))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "row", "host", "path")), pa.array(n), pa.array(np.where(n > 0, p, 0.0))], names=["id", "row", "host", "path", "n_words", "evidence"])
 
-    kinds = {f.name: f for f in known.schema.fields}
-    schema = T.StructType([*(kinds[c] for c in ("id", "row", "host", "path")), T.StructField("n_words", T.LongType()), T.StructField("evidence", T.DoubleType())])
-    docs = cut(known.mapInArrow(score, schema))
+def keep_good(
+    df: DataFrame,
+    labels: DataFrame,
+    *,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    host_col: str = "source",
+    path_col: str = "lang",
+    label_col: str = "quality",
+    threshold: float = 0.5,
+    most_shift: float = 2.0,
+    sample_rows: int = SAMPLE_ROWS,
+) -> DataFrame:
+    """The rows of ``df`` that :func:`classify` keeps, unchanged.
 
-    paths = cut(docs.where("n_words > 0").groupBy("host", "path").agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("evidence").alias("s")))
-    hosts = paths.groupBy("host").agg(F.sum("n").alias("n_h"), F.sum("s").alias("s_h"))
-    # three numbers that all sites share
-    mean = paths.agg(F.sum("s") / F.sum("n")).first()[0]
-    mean = prior if mean is None else mean
-    k_h = hosts.agg(_strength(F.col("n_h"), F.col("s_h"), F.lit(mean))).first()[0]
-    hosts = hosts.withColumn("m_h", (F.col("s_h") + k_h * mean) / (F.col("n_h") + k_h))
-    sites = cut(paths.join(hosts.withColumnRenamed("host", "h2"), F.col("host").eqNullSafe(F.col("h2"))).drop("h2"))
-    k_p = sites.agg(_strength(F.col("n"), F.col("s"), F.col("m_h"))).first()[0]
-    sites = sites.select(F.col("host").alias("h2"), F.col("path").alias("p2"), "n", "s", "n_h", "s_h")
+    Texts are scored where they are, a second time, rather than shuffled to their scores.
+    """
+    model, _ = learn(df, labels, id_col=id_col, text_col=text_col, host_col=host_col, path_col=path_col, label_col=label_col, sample_rows=sample_rows)
+    logistic, prior = model.model, model.prior
 
-    both = docs.join(sites, F.col("host").eqNullSafe(F.col("h2")) & F.col("path").eqNullSafe(F.col("p2")), "left")
-    # without the document itself, whose evidence comes on its own
-    e = F.col("evidence")
-    host = (F.col("s_h") - e + k_h * mean) / (F.col("n_h") - 1 + k_h)
-    path = (F.col("s") - e + k_p * F.col("host_posterior")) / (F.col("n") - 1 + k_p)
-    both = both.withColumn("host_posterior", host).withColumn("path_posterior", path)
-    usual = _logit(F.lit(mean))
-    shift = F.least(F.greatest(_logit(F.col("path_posterior")) - usual, F.lit(-most_shift)), F.lit(most_shift))
-    z = shift + usual + _logit(e) - _logit(F.lit(prior))
-    final = F.when(F.col("n_words") > 0, 1 / (1 + F.exp(-z))).otherwise(F.lit(0.0))
-    done = both.withColumn("score", final)
-    return done.select("id", "row", "evidence", "host_posterior", "path_posterior", "score", ((F.col("score") >= threshold) & (F.col("n_words") > 0)).alias("kept"))
-
-
-def keep_good(df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``df`` that :func:`classify` keeps, unchanged."""
-    bad = classify(df, labels, id_col=id_col, text_col=text_col, **options).where("NOT kept").select(F.col("id").alias("__id"), F.col("row").alias("__row")).distinct()
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return df.join(bad, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__row")), "left_anti")
+    @F.pandas_udf(T.DoubleType())
+    def evidence(texts: pd.Series) -> pd.Series:
+        got = [features(t) for t in texts]
+        return pd.Series(_evidence(np.array([x for _, x in got]).reshape(-1, N_FEATURES), np.array([n for n, _ in got]), logistic, prior))
+
+    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("__all"), F.col(host_col).alias("host"), F.col(path_col).alias("path"), evidence(F.col(text_col)).alias("evidence"))
+    return model.scored(rows, threshold, most_shift).where("kept").select("__all.*")
