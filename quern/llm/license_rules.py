@@ -13,7 +13,7 @@ class Rule(NamedTuple):
     order: int
     label: str
     priority: int  #: 1 is strongest
-    keywords: list[str]  #: the text must contain one of them for the pattern to be tried
+    keywords: list[str]  #: one must begin at a word of the text for the pattern to be tried
     confidence: float
     pattern: str
 
@@ -28,10 +28,10 @@ FAMILIES: list[tuple[str, str, str, str]] = [
     ("apache-1.1", "apache", "apache 1 1", f"apache (?:software )?{LIC} {VER}1 1"),
     ("apache-2.0", "apache", "apache 2 0", f"apache (?:software )?(?:{LIC} )?{VER}2(?: 0)?"),
     ("apache", "apache", "apache", f"apache (?:software )?{LIC}"),
-    ("bsd-0-clause", "bsd", "0bsd", f"(?:bsd zero clause|zero clause bsd|0bsd)(?: {LIC})?"),
-    ("bsd-2-clause", "bsd", "bsd 2 clause", f"(?:bsd (?:2|two) clause|(?:2|two) clause bsd|simplified bsd|freebsd)(?: {LIC})?"),
-    ("bsd-3-clause", "bsd", "bsd 3 clause", f"(?:bsd (?:3|three) clause|(?:3|three) clause bsd|(?:new|revised|modified) bsd)(?: {LIC})?"),
-    ("bsd-4-clause", "bsd", "bsd 4 clause", f"(?:bsd (?:4|four) clause|(?:4|four) clause bsd|original bsd)(?: {LIC})?"),
+    ("bsd-0-clause", "bsd|0bsd|zero clause", "0bsd", f"(?:bsd zero clause|zero clause bsd|0bsd)(?: {LIC})?"),
+    ("bsd-2-clause", "bsd|2 clause|two clause|simplified|freebsd", "bsd 2 clause", f"(?:bsd (?:2|two) clause|(?:2|two) clause bsd|simplified bsd|freebsd)(?: {LIC})?"),
+    ("bsd-3-clause", "bsd|3 clause|three clause|new bsd|revised|modified", "bsd 3 clause", f"(?:bsd (?:3|three) clause|(?:3|three) clause bsd|(?:new|revised|modified) bsd)(?: {LIC})?"),
+    ("bsd-4-clause", "bsd|4 clause|four clause|original", "bsd 4 clause", f"(?:bsd (?:4|four) clause|(?:4|four) clause bsd|original bsd)(?: {LIC})?"),
     ("bsd", "bsd", "bsd", f"bsd (?:style )?{LIC}"),
     ("gpl-1.0", "gpl|general public", "gpl 1 0(?: only| or later)?", f"(?:gnu )?(?:gpl|general public {LIC}) {VER}1(?: 0)?"),
     ("gpl-2.0", "gpl|general public", "gpl 2 0(?: only| or later)?", f"(?:gnu )?(?:gpl|general public {LIC}) {VER}2(?: 0)?"),
@@ -73,7 +73,7 @@ FAMILIES: list[tuple[str, str, str, str]] = [
     ("bsl", "busl|business", "busl 1 1", f"business source {LIC}"),
     ("sspl", "sspl|server", "sspl 1 0", f"server side public {LIC}"),
     ("elastic", "elastic", "elastic 2 0", f"elastic {LIC}"),
-    ("openrail", "rail", "openrail(?: m)?", "(?:creativeml )?open ?rail(?: m)?(?: licen[sc]e)?"),
+    ("openrail", "openrail|open rail|creativeml", "openrail(?: m)?", "(?:creativeml )?open ?rail(?: m)?(?: licen[sc]e)?"),
     ("cc0", "cc", "cc0 1 0", "cc0|creative commons zero"),
     ("cc-by-nc-nd", "cc", "cc by nc nd [1-4] [05]", "cc by nc nd"),
     ("cc-by-nc-sa", "cc", "cc by nc sa [1-4] [05]", "cc by nc sa"),

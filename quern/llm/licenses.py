@@ -55,7 +55,7 @@ def _found(words: Column, pattern: Column) -> Column:
 def _detections(words: Column, table: list[Rule]) -> Column:
     """All detections of all rules, by start, then longest and strongest first."""
     literal = F.from_json(F.lit(json.dumps([r._asdict() for r in table])), _RULES)
-    tried = F.filter(literal, lambda r: F.exists(r["keywords"], lambda k: F.contains(words, k)) & F.regexp_like(words, _on_words(r["pattern"])))
+    tried = F.filter(literal, lambda r: F.exists(r["keywords"], lambda k: F.contains(words, F.concat(F.lit(" "), k))) & F.regexp_like(words, _on_words(r["pattern"])))
 
     def hits(r: Column) -> Column:
         return F.transform(
@@ -80,7 +80,7 @@ def _standing(detections: Column, priorities: int) -> Column:
         reach = F.array(*(running(ends(p), F.greatest) for p in range(1, priorities + 1)))
         return let(reach, lambda m: F.filter(found, lambda d, i: F.coalesce(F.get(F.get(m, d["priority"] - 1), i - 1), F.lit(-1)) < -d["end"]))
 
-    return F.when(F.size(detections) > 0, let(detections, standing)).otherwise(F.array().cast(f"array<{_DETECTION}>"))
+    return let(detections, lambda found: F.when(F.size(found) > 0, standing(found)).otherwise(found))
 
 
 def _base(words: Column, phrases: dict[str, str]) -> Column:
