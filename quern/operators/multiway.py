@@ -146,13 +146,16 @@ def _kernel(variables: list[list[str]], order: list[str], count_only: bool) -> C
     return run
 
 
-def multiway_join(relations: list[tuple[DataFrame, list[str]]], *, cells: int | None = None, count_only: bool = False) -> DataFrame:
+def multiway_join(relations: list[tuple[DataFrame, list[str]]], *, cells: int | None = None, sizes: list[int] | None = None, count_only: bool = False) -> DataFrame:
     """Natural join of all ``relations`` on equally named variables.
 
     relations: (rows, names for its columns in order); the columns are integers, and rows
     with a null never join. Gives each distinct binding of all variables with its
     ``multiplicity``, the number of combinations of rows that make it; with ``count_only``
     only partial sums of ``multiplicity``.
+
+    sizes: about how many rows the relations have, which sets the shares and nothing else;
+    they are counted if not given, which computes relations that are not stored once more.
     """
     spark = relations[0][0].sparkSession
     cells = cells or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -170,7 +173,7 @@ def multiway_join(relations: list[tuple[DataFrame, list[str]]], *, cells: int |
         rest = [v for v in names if v not in order]
         near = [v for v in rest if any(v in own and set(own) & set(order) for own in variables)] or rest
         order.append(max(near, key=lambda v: (sum(v in own for own in variables), -names.index(v))))
-    held = shares([df.count() for df, _ in relations], variables, order, cells)
+    held = shares(sizes or [df.count() for df, _ in relations], variables, order, cells)
     weight, w = {}, 1
     for v in order:
         weight[v] = w
