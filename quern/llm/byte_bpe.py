@@ -30,7 +30,7 @@ LONGEST_ROW = 256
 #: Characters of text, and pre-tokens, that are held as Python objects at a time.
 SLICE_CHARS, SLICE_TOKENS = 4_000_000, 1_000_000
 #: Entries of the cache of pre-tokens.
-CACHE = 300_000
+CACHE = 800_000
 _ROWS = 32_768
 
 
