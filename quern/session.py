@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+
 from pyspark.sql import SparkSession
 
 #: What every session gets. Sizes of joins and shuffles are left to adaptive execution:
@@ -26,4 +30,24 @@ def build_session(app: str = "quern", master: str | None = None, **conf: str) ->
         builder = builder.master(master)
     for key, value in {**DEFAULTS, **conf}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return ship(builder.getOrCreate())
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Have the workers of a session import this package, wherever they run.
+
+    Sends its source files once per application; without effect where they have it.
+    """
+    sc = spark.sparkContext
+    if not getattr(sc, "_quern_shipped", False):
+        package = os.path.dirname(os.path.abspath(__file__))
+        path = os.path.join(tempfile.mkdtemp(prefix="quern-"), "quern.zip")
+        with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+            for folder, _, names in os.walk(package):
+                for name in names:
+                    if name.endswith(".py"):
+                        full = os.path.join(folder, name)
+                        z.write(full, os.path.join("quern", os.path.relpath(full, package)))
+        sc.addPyFile(path)
+        sc._quern_shipped = True
+    return spark
