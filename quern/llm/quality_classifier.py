@@ -18,7 +18,6 @@ from operator import eq
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -262,10 +261,15 @@ def keep_good(
     model, _ = learn(df, labels, id_col=id_col, text_col=text_col, host_col=host_col, path_col=path_col, label_col=label_col, sample_rows=sample_rows)
     logistic, prior = model.model, model.prior
 
-    @F.pandas_udf(T.DoubleType())
-    def evidence(texts: pd.Series) -> pd.Series:
-        got = [features(t) for t in texts]
-        return pd.Series(_evidence(np.array([x for _, x in got]).reshape(-1, N_FEATURES), np.array([n for n, _ in got]), logistic, prior))
+    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("__all"), F.col(host_col).alias("host"), F.col(path_col).alias("path"), F.col(text_col).alias("__text"))
+    schema = T.StructType([*(rows.schema[c] for c in ("__all", "host", "path")), T.StructField("evidence", T.DoubleType())])
 
-    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("__all"), F.col(host_col).alias("host"), F.col(path_col).alias("path"), evidence(F.col(text_col)).alias("evidence"))
-    return model.scored(rows, threshold, most_shift).where("kept").select("__all.*")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), 1000):
+                part = batch.slice(at, 1000)
+                got = [features(t.as_py()) for t in part.column("__text")]
+                e = _evidence(np.array([x for _, x in got]), np.array([n for n, _ in got]), logistic, prior)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("__all", "host", "path")), pa.array(e)], names=["__all", "host", "path", "evidence"])
+
+    return model.scored(rows.mapInArrow(run, schema), threshold, most_shift).where("kept").select("__all.*")
