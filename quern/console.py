@@ -17,7 +17,7 @@ HELP = """\
 list                                 tables of the database
 load <table> <csv> <separator> <null>  replace a table's rows with a file's
 exec <file>                          run a script, those after a failed statement too
-explain <query>                      how Spark would run a query
+explain [<folder> <n> <n>] <query>   how Spark would run a query
 bench <folder> <out>                 time all *.sql of a folder, as a TSV file
 index all                            statistics on all columns
 compress                             nothing to do: Parquet has dictionaries
@@ -55,7 +55,9 @@ class Console:
         elif command == "exec":
             self._script(Path(words[1]).read_text())
         elif command == "explain":
-            df = self.engine.query(line.split(None, 1)[1])
+            # a folder and two numbers for plots may stand before the query; they change nothing
+            plots = len(words) > 4 and words[2].isdigit() and words[3].isdigit()
+            df = self.engine.query(line.split(None, 4 if plots else 1)[-1])
             self.out(df._jdf.queryExecution().toString())
         elif command == "bench":
             bench(self.engine, words[1], words[2])

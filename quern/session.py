@@ -33,6 +33,17 @@ def build_session(app: str = "quern", master: str | None = None, **conf: str) ->
     return ship(builder.getOrCreate())
 
 
+def read_properties(path: str) -> dict[str, str]:
+    """The ``key = value`` lines of a properties file, as configuration for a session."""
+    found = {}
+    with open(path) as f:
+        for line in f:
+            key, sign, value = line.strip().partition("=")
+            if sign and not key.startswith(("#", "!")):
+                found[key.strip()] = value.strip()
+    return found
+
+
 def ship(spark: SparkSession) -> SparkSession:
     """Have the workers of a session import this package, wherever they run.
 

@@ -102,7 +102,7 @@ def test_console(engine, tmp_path):
     console = Console(engine, out.append)
     (tmp_path / "a.csv").write_text("1,x,1.5,2020-01-31\n2,,,\n")
     (tmp_path / "s.sql").write_text("SELECT a FROM t WHERE a = 1; SELECT b FROM t WHERE a = 2;")
-    for line in (DDL + ";", f"load t {tmp_path}/a.csv , NULL", "SELECT a, b FROM t ORDER BY a;", f"exec {tmp_path}/s.sql", "list", "nonsense", "", "index all", "compress", "help", "explain SELECT a FROM t"):
+    for line in (DDL + ";", f"load t {tmp_path}/a.csv , NULL", "SELECT a, b FROM t ORDER BY a;", f"exec {tmp_path}/s.sql", "list", "nonsense", "", "index all", "compress", "help", f"explain {tmp_path} 5 1 SELECT a FROM t", "explain SELECT a FROM t"):
         assert console.run(line)
     assert out[:3] == ["a\tb", "1\tx", "2\t[null]"] and out[3:7] == ["a", "1", "b", "[null]"]
     assert out[7].startswith("t(a int") and out[8].startswith("Error") and "Physical Plan" in out[-1]
@@ -153,3 +153,10 @@ def test_database_is_made(spark):
     Database(spark, "Fresh_DB")
     assert spark.catalog.databaseExists("fresh_db")
     spark.sql("DROP DATABASE fresh_db")
+
+
+def test_read_properties(tmp_path):
+    from quern.session import read_properties
+
+    (tmp_path / "c").write_text("# note\nspark.x = 1\n\ny=a=b\nnothing\n")
+    assert read_properties(str(tmp_path / "c")) == {"spark.x": "1", "y": "a=b"}
