@@ -29,8 +29,8 @@ from .pairs import NEVER, PairTable, merge_long
 LONGEST_ROW = 256
 #: Characters of text, and pre-tokens, that are held as Python objects at a time.
 SLICE_CHARS, SLICE_TOKENS = 4_000_000, 1_000_000
-#: Entries of the cache of pre-tokens.
-CACHE = 800_000
+#: Entries of the cache of pre-tokens, which a task drops when it ends.
+CACHE = 400_000
 _ROWS = 32_768
 
 
@@ -145,6 +145,9 @@ class ByteBPE:
             self._learn(set(part))
             yield list(chain.from_iterable(map(self._cache.__getitem__, part)))
 
+    def forget(self) -> None:
+        self._cache = {}
+
     def encode(self, text: str) -> list[int]:
         return list(chain.from_iterable(next(self.ids([text]))))
 
@@ -206,6 +209,12 @@ def encode_texts(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(rank_path, pattern)
+        try:
+            yield from encoded(bpe, batches)
+        finally:
+            bpe.forget()  # the worker process may go on to other work
+
+    def encoded(bpe: ByteBPE, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("__text")
             for start, part in _arrow_slices(texts):

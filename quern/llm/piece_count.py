@@ -26,7 +26,7 @@ SPACE = "▁"
 #: Pre-tokens of more symbols are merged over a heap, with equal result.
 LONGEST_ROW = 256
 SLICE_CHARS = 4_000_000
-CACHE = 1_000_000
+CACHE = 600_000
 _FLAT = 2_000_000
 _CHUNK = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
@@ -126,6 +126,9 @@ class PieceCounter:
         if batch:
             flush()
 
+    def forget(self) -> None:
+        self._cache = {}
+
     def counts(self, texts: list[str]) -> list[int]:
         marked = [(SPACE + t.replace(" ", SPACE)) if t else "" for t in texts]
         words = [_CHUNK.findall(t) if self.cuts else [t] * bool(t) for t in marked]
@@ -160,6 +163,12 @@ def count_tokens(df: DataFrame, model_path: str, *, keys: list[str], text_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = loaded(model_path)
+        try:
+            yield from counted(counter, batches)
+        finally:
+            counter.forget()  # the worker process may go on to other work
+
+    def counted(counter: PieceCounter, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes: list[int] = []
             counts: list[int] = []
