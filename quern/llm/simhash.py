@@ -313,19 +313,3 @@ def near_duplicates(
     """
     done = _classes(df, id_col, text_col, width, max_bits, segment_bits)
     return done.select(F.col("__id").alias(id_col), F.lpad(F.lower(F.hex("__fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def keep_one(
-    df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 4, max_bits: int = 4, segment_bits: int = SEGMENT_BITS
-) -> DataFrame:
-    """One row of each component of :func:`near_duplicates`: that of the smallest id.
-
-    All its columns stay. Of several such rows, the one whose text has the smallest hash
-    stays; of rows of equal id and text, any one.
-    """
-    done = _classes(df, id_col, text_col, width, max_bits, segment_bits)
-    first = F.min(F.struct(F.col("__id").isNull().alias("null"), F.col("__id").alias("id"), F.col("__row").alias("row")))
-    kept = done.groupBy("root").agg(first.alias("k")).select(F.col("k.id").alias("__k"), F.col("k.row").alias("__r")).distinct()
-    keyed = df.withColumn("__id", F.col(id_col)).withColumn("__row", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    chosen = keyed.join(kept, F.col("__id").eqNullSafe(F.col("__k")) & (F.col("__row") == F.col("__r")), "left_semi")
-    return chosen.dropDuplicates(["__id", "__row"]).drop("__id", "__row")

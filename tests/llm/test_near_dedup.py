@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from quern.llm import near_dedup
+from quern.llm.simhash import fingerprint
 
 SF = "/root/testdata/sf0.001"
 
@@ -102,3 +103,12 @@ def test_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     got = sorted(r.doc_id for r in P.simhash(spark, docs, SF).collect())
     assert got == brute([(r.doc_id, r.text) for r in docs.collect()])
+
+
+def test_short_texts_are_not_taken_for_empty_ones(spark):
+    rng = random.Random(4)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(6)) for _ in range(1500)]
+    texts = [t for t in texts if fingerprint(t, 5).bit_count() <= 8]
+    assert len(texts) > 3
+    rows = [(0, ""), (1, None), (2, " \n"), *((3 + i, t) for i, t in enumerate(texts))]
+    assert kept(spark, rows) == [0, *range(3, 3 + len(texts))]
