@@ -23,7 +23,7 @@ VER = "(?:v|ver|version)? ?"
 
 #: (label, keywords, SPDX identifier as words, name). The name must tell the licence by itself.
 FAMILIES: list[tuple[str, str, str, str]] = [
-    ("mit", "mit", "mit", f"(?:mit|expat) (?:style )?{LIC}"),
+    ("mit", "mit|expat", "mit", f"(?:mit|expat) (?:style )?{LIC}"),
     ("mit-0", "mit", "mit 0", f"mit no attribution(?: {LIC})?"),
     ("apache-1.1", "apache", "apache 1 1", f"apache (?:software )?{LIC} {VER}1 1"),
     ("apache-2.0", "apache", "apache 2 0", f"apache (?:software )?(?:{LIC} )?{VER}2(?: 0)?"),
@@ -74,7 +74,7 @@ FAMILIES: list[tuple[str, str, str, str]] = [
     ("sspl", "sspl|server", "sspl 1 0", f"server side public {LIC}"),
     ("elastic", "elastic", "elastic 2 0", f"elastic {LIC}"),
     ("openrail", "openrail|open rail|creativeml", "openrail(?: m)?", "(?:creativeml )?open ?rail(?: m)?(?: licen[sc]e)?"),
-    ("cc0", "cc", "cc0 1 0", "cc0|creative commons zero"),
+    ("cc0", "cc|creative commons zero", "cc0 1 0", "cc0|creative commons zero"),
     ("cc-by-nc-nd", "cc", "cc by nc nd [1-4] [05]", "cc by nc nd"),
     ("cc-by-nc-sa", "cc", "cc by nc sa [1-4] [05]", "cc by nc sa"),
     ("cc-by-nc", "cc", "cc by nc [1-4] [05]", "cc by nc"),

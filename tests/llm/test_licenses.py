@@ -79,3 +79,12 @@ def test_documents(spark):
 @pytest.mark.parametrize("text,label", [("SPDX-License-Identifier: MIT", "mit"), ("Licensed under the GPL v3", "gpl-3.0"), ("under the Apache License, Version 2.0", "apache-2.0")])
 def test_labels(text, label):
     assert label in brute(0, text)[6].split(",")
+
+
+@pytest.mark.parametrize("text,label", [("Creative Commons Zero", "cc0"), ("under the Expat License", "mit"), ("Expat licence", "mit")])
+def test_keywords_let_every_name_through(spark, text, label):
+    from quern.llm.licenses import scan
+
+    rows = [(1, text)]
+    got = scan(spark.createDataFrame(rows, "doc_id long, text string"), keys=["doc_id"], text_col="text", phrases=PHRASES).collect()
+    assert label in got[0].labels.split(",") and got[0].labels == brute(1, text)[6]
