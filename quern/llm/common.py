@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -72,11 +73,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session has none is a local folder set, which suits one machine.
+    Only where the session has none and runs on one machine is a local folder set.
     """
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not configured and not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("a cluster needs spark.checkpoint.dir, a folder that driver and executors share")
         sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="quern-checkpoint-"))
     if configured:
         return configured.rstrip("/")
@@ -95,6 +98,26 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Keys that are broadcast, at most.
+BROADCAST_KEYS = 100_000
+
+
+def join_keys(df: DataFrame, keyed: DataFrame, on: list[Column], *, weight: str, how: str, most: int = BROADCAST_KEYS) -> DataFrame:
+    """``df`` joined (inner or left) to ``keyed``, whose keys ``on`` are unique, without a hot task.
+
+    weight: column of ``keyed``, the rows of ``df`` with the key. Up to ``most`` keys are
+    broadcast. Of more, only those that have over 1 / ``most`` of all weight, of which there
+    are fewer than ``most``, are; the rest are joined by a shuffle in which no key is hot.
+    ``keyed`` is read several times, so it should be cut; its rows should be of bounded size.
+    """
+    n, total = keyed.agg(F.count(F.lit(1)), F.sum(weight)).first()
+    if n <= most:
+        return df.join(F.broadcast(keyed), on, how)
+    hot = F.col(weight) * most > F.lit(total)
+    few = F.broadcast(keyed.where(hot))
+    return df.join(few, on, "inner").unionByName(df.join(few, on, "left_anti").join(keyed.where(~hot), on, how))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Compute ``df`` once and cut its lineage with a reliable checkpoint."""
     shared_root(df.sparkSession)

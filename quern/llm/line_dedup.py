@@ -7,22 +7,39 @@ runs, they are merged into one run of the next level. Batches come by falling do
 id, so the first batch that holds a line has the document that keeps it, and later ones
 only add to the line's count.
 
-Runs are tables bucketed and sorted by hash in the shared folder: the anti-join and the
-compaction read them side by side without an exchange. Only hashes (128 bits), ids and
-positions move; texts are read twice and never shuffled, save by the last join of the
-documents that lose lines.
+Runs are tables bucketed by hash in the shared folder, one sorted file for each bucket: the
+anti-join and the compaction merge them side by side without an exchange or a sort. Only
+hashes (128 bits), ids and positions move; texts are read twice. The lines to drop are
+broadcast where they take ``BROADCAST_BYTES`` at most; beyond, texts are shuffled to them once.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WS_CHARS, ascii_lower, cut, drop_path, fresh_path, let
+from .common import WS_CHARS, ascii_lower, cut, drop_path, fresh_path, join_keys, let
 
 KEY = ["h1", "h2"]
+#: Positions of lines to drop that are broadcast, at most, with what their rows take.
+BROADCAST_BYTES = 32 << 20
+#: By default scans of bucketed tables don't tell that their files are sorted.
+_SORTED_SCANS = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+
+
+@contextmanager
+def sorted_scans(spark: SparkSession) -> Iterator[None]:
+    """Bucketed scans of one file a bucket report their order to what is planned within."""
+    before = spark.conf.get(_SORTED_SCANS, None)
+    spark.conf.set(_SORTED_SCANS, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_SORTED_SCANS) if before is None else spark.conf.set(_SORTED_SCANS, before)
 
 
 def text_lines(text: Column) -> Column:
@@ -52,11 +69,13 @@ def signatures(df: DataFrame, *, id_col: str, text_col: str, min_chars: int) ->
 class LineRuns:
     """Levelled sorted runs of line hashes: (h1, h2, n_docs, keeper).
 
-    keeper is set where a line was new, and null where it was only counted.
+    keeper is set where a line was new, and null where it was only counted. There are as
+    many buckets as the session has shuffle partitions. Used within :func:`sorted_scans`.
     """
 
-    def __init__(self, spark: SparkSession, *, buckets: int, fanout: int = 2):
-        self.spark, self.buckets, self.fanout = spark, buckets, fanout
+    def __init__(self, spark: SparkSession, *, fanout: int = 2):
+        self.spark, self.fanout = spark, fanout
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.root = fresh_path(spark, "line-runs")
         self.levels: list[list[str]] = [[]]
         self._tag, self._made = uuid.uuid4().hex[:12], 0
@@ -71,7 +90,8 @@ class LineRuns:
         """
         docs = batch.select(*KEY, "id").distinct()
         own = docs.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_docs"), F.max("id").alias("keeper"))
-        stored = self._store(own.repartition(self.buckets, *KEY))
+        # grouped by the buckets' own hash: a bucket's rows are in one task, which writes one file
+        stored = self._store(own)
         if self.runs():
             own = new = self.spark.table(stored)
             for run in self.runs():
@@ -130,7 +150,7 @@ class LineRuns:
 
 
 def dropped_lines(
-    df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5, batches: int = 4, fanout: int = 2, salts: int = 16
+    df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5, batches: int = 4, fanout: int = 2
 ) -> DataFrame:
     """(id, row, positions): the lines each document loses, counted from 0.
 
@@ -140,23 +160,23 @@ def dropped_lines(
     keeps no line shared with others. Only rows that lose something are returned.
     """
     spark = df.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = df.agg(F.percentile_approx(id_col, [(batches - k) / batches for k in range(1, batches)], 1000).alias("c")).first()["c"] or []
     batch = F.lit(0)
     for k, least in enumerate(cuts):
         batch = F.when(F.col("id") < least, k + 1).otherwise(batch)
     batch = F.when(F.col("id").isNull(), F.lit(batches - 1)).otherwise(batch)
     path = fresh_path(spark, "line-signatures")
-    runs = LineRuns(spark, buckets=buckets, fanout=fanout)
+    runs = LineRuns(spark, fanout=fanout)
     try:
         found = signatures(df, id_col=id_col, text_col=text_col, min_chars=min_chars)
         found.withColumn("batch", batch).write.partitionBy("batch").parquet(path)
         stored = spark.read.schema(found.schema.add("batch", "integer")).parquet(path)
-        for k in range(batches):
-            runs.add(stored.where(F.col("batch") == k).select(*KEY, "id"))
-        frequent = runs.merged().where(F.col("n_docs") >= min_docs).select(*KEY, "keeper", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-        salted = stored.select("id", "row", "pos", *KEY, F.pmod(F.xxhash64("id", "row"), F.lit(salts)).cast("int").alias("salt"))
-        hits = salted.join(frequent, [*KEY, "salt"]).where(~F.col("id").eqNullSafe(F.col("keeper")))
+        with sorted_scans(spark):
+            for k in range(batches):
+                runs.add(stored.where(F.col("batch") == k).select(*KEY, "id"))
+            frequent = cut(runs.merged().where(F.col("n_docs") >= min_docs).select(F.col("h1").alias("f1"), F.col("h2").alias("f2"), "keeper", "n_docs"))
+        same = [F.col("h1") == F.col("f1"), F.col("h2") == F.col("f2")]
+        hits = join_keys(stored.select("id", "row", "pos", *KEY), frequent, same, weight="n_docs", how="inner").where(~F.col("id").eqNullSafe(F.col("keeper")))
         return cut(hits.groupBy("id", "row").agg(F.array_sort(F.collect_set("pos")).alias("positions")))
     finally:
         runs.close()
@@ -182,6 +202,8 @@ def dedup_lines(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     Options as for :func:`dropped_lines`.
     """
     gone = dropped_lines(df, id_col=id_col, text_col=text_col, **options).select(F.col("id").alias("__id"), F.col("row").alias("__row"), F.col("positions").alias("__gone"))
+    if (gone.agg(F.sum(F.size("__gone") * 4 + 64)).first()[0] or 0) <= BROADCAST_BYTES:
+        gone = F.broadcast(gone)
     text = F.col(text_col)
     joined = df.join(gone, F.col(id_col).eqNullSafe(F.col("__id")) & (row_key(text) == F.col("__row")), "left")
     n_lines = F.length(F.coalesce(text, F.lit(""))) - F.length(F.translate(F.coalesce(text, F.lit("")), "\n", "")) + 1

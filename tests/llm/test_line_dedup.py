@@ -7,8 +7,10 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import types as T
 
+from quern.llm import common
 from quern.llm.common import UPPER, LOWER, WS_CHARS
-from quern.llm.line_dedup import LineRuns, dedup_lines
+from quern.llm import line_dedup
+from quern.llm.line_dedup import LineRuns, dedup_lines, sorted_scans
 from quern.llm.queries_line_dedup import op5_line_dedup
 
 SCHEMA = T.StructType([T.StructField(n, t) for n, t in (("doc_id", T.LongType()), ("text", T.StringType()), ("positions", T.StringType()), ("__id", T.LongType()))][:3])
@@ -41,8 +43,12 @@ def rows():
     return out
 
 
-@pytest.mark.parametrize("options", [{}, {"batches": 1}, {"batches": 7, "fanout": 3, "salts": 2}])
-def test_equals_brute_force(spark, tmp_path, options):
+@pytest.mark.parametrize("options", [{}, {"batches": 1}, {"batches": 7, "fanout": 3}])
+@pytest.mark.parametrize("small", [True, False])
+def test_equals_brute_force(spark, tmp_path, options, small, monkeypatch):
+    if not small:  # most keys are shuffled, and all texts
+        monkeypatch.setattr(line_dedup, "BROADCAST_BYTES", 0)
+        monkeypatch.setattr(line_dedup, "join_keys", lambda *a, **b: common.join_keys(*a, **b, most=3))
     df = spark.createDataFrame([(*r, "x") for r in rows()], SCHEMA).repartition(3)
     got = dedup_lines(df, **options)
     assert got.columns[:3] == df.columns
@@ -58,7 +64,12 @@ def test_query(spark, tmp_path):
 
 
 def test_runs_count_and_keep(spark):
-    runs = LineRuns(spark, buckets=3, fanout=2)
+    runs = LineRuns(spark, fanout=2)
+    with sorted_scans(spark):
+        check_runs(spark, runs)
+
+
+def check_runs(spark, runs):
     try:
         for ids in ([9, 8], [7], [6, 5], [4], [3]):
             runs.add(spark.createDataFrame([(1, 1, i) for i in ids] + [(2, ids[0], ids[0])], "h1 long, h2 long, id long"))
@@ -66,6 +77,9 @@ def test_runs_count_and_keep(spark):
         got = {(r.h1, r.h2): (r.n_docs, r.keeper) for r in runs.merged().collect()}
         assert got == {(1, 1): (7, 9)} | {(2, i): (1, i) for i in (9, 7, 6, 4, 3)}
         plan = runs.merged()._jdf.queryExecution().executedPlan().toString()
-        assert "SortMergeJoin" in plan and "Exchange" not in plan
+        assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan
+        first, *rest = runs.runs()
+        plan = spark.table(first).hint("merge").join(spark.table(rest[0]), ["h1", "h2"], "left_anti")._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan
     finally:
         runs.close()
