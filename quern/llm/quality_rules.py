@@ -3,8 +3,11 @@
 Method: each document's measures go into quantile sketches for each language and source.
 A sketch counts the values of logarithmic bins (relative error ``GAMMA`` - 1), so sketches
 merge by adding counts, whatever the order of the rows, and thin groups take the merged
-sketch of their language or of all documents. Fences far outside a sketch's quartiles
-replace fixed cutoffs, and joining them to the documents filters.
+sketch of their language or of all documents. Fences replace fixed cutoffs: a quantile of
+the sketch, and beyond it ``reach`` times its distance from the median, counted in bins and
+so in ratios. Where the quantile is the median, one further out counts. Only documents that
+have any of what is measured are compared in it. No fence has a value of its own. Joining
+them to the documents filters.
 
 Scale: texts are read once, in one map; after it only numbers move. Sketches are
 aggregated map-side and have at most ``MOST_BINS`` bins, so no group is large anywhere.
@@ -21,19 +24,16 @@ from .common import WORD, WS_CHARS, cut, let
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
-GAMMA = 1.02
+GAMMA = 1.002
+#: Documents that a group's own sketch needs, and how far beyond its quantile a fence lies.
+MIN_ROWS, REACH = 100, 6
 #: Bins are counted from here to its negative; zero has one of its own below.
-MOST_BINS = 4096
+MOST_BINS = 8192
 _ZERO = -MOST_BINS
-#: Measure -> (slack of its lower fence or None for no such fence, slack of its upper fence).
-#: Slack is what a value may exceed the fence by where a group hardly varies.
-MEASURES: dict[str, tuple[float | None, float]] = {
-    "word_length": (1.5, 2.5),
-    "symbols_per_word": (None, 0.1),
-    "dup_line_share": (None, 0.4),
-    "repeat_share": (None, 0.25),
-    "echo_share": (None, 0.2),
-}
+#: Measure -> whether values can be too low, besides too high.
+MEASURES = {"word_length": True, "symbols_per_word": False, "dup_line_share": False, "repeat_share": False, "echo_share": False}
+#: Shares of a group beyond its quantiles, tried in this order.
+TAILS = (0.25, 0.1, 0.05, 0.01)
 
 
 def repeat_words(words: Column) -> Column:
@@ -111,8 +111,8 @@ def bin_value(b: Column) -> Column:
     return F.when(b == _ZERO, F.lit(0.0)).otherwise(F.pow(F.lit(GAMMA), b.cast("double")) * (2 / (1 + GAMMA)))
 
 
-def quantile(sketch: Column, q: float) -> Column:
-    """The lowest value of the sketch that a share ``q`` of the counted ones don't exceed."""
+def quantile_bin(sketch: Column, q: float) -> Column:
+    """The lowest bin of the sketch that a share ``q`` of the counted values don't exceed."""
 
     def of(x: Column) -> Column:
         start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(None).cast("int").alias("at"))
@@ -121,38 +121,46 @@ def quantile(sketch: Column, q: float) -> Column:
             n = a["n"] + e["n"]
             return F.struct(n.alias("n"), F.coalesce(a["at"], F.when(n >= q * x["total"], e["bin"])).alias("at"))
 
-        return bin_value(F.aggregate(x["sketch"], start, step, lambda a: a["at"]))
+        return F.aggregate(x["sketch"], start, step, lambda a: a["at"])
 
     total = F.aggregate(sketch, F.lit(0).cast("long"), lambda a, e: a + e["n"])
     return let(F.struct(F.array_sort(sketch).alias("sketch"), total.alias("total")), of)
 
 
 def sketches(measures: DataFrame, groups: list[str]) -> DataFrame:
-    """(groups, measure, bin, n): the finest sketches, of documents that pass the base rules."""
+    """(groups, measure, bin, n): the finest sketches, of documents that pass the base rules.
+
+    They count the values above zero.
+    """
     each = F.array(*(F.struct(F.lit(m).alias("measure"), bin_of(v).alias("bin")) for m, v in _values().items()))
-    return measures.where(~F.col("base_failed")).select(*groups, F.inline(each)).groupBy(*groups, "measure", "bin").agg(F.count(F.lit(1)).alias("n"))
+    return measures.where(~F.col("base_failed")).select(*groups, F.inline(each)).where(F.col("bin") > _ZERO).groupBy(*groups, "measure", "bin").agg(F.count(F.lit(1)).alias("n"))
+
 
+def _fences(bins: DataFrame, by: list[str], reach: int) -> DataFrame:
+    """(by, measure, total, low, high) of the sketches merged to ``by``; fences are bins.
 
-def _fences(bins: DataFrame, by: list[str], k: float) -> DataFrame:
-    """(by, measure, total, low, high) of the sketches merged to ``by``."""
+    A sketch that has no tail apart from its median gives no fence.
+    """
     merged = bins.groupBy(*by, "measure", "bin").agg(F.sum("n").alias("n"))
     one = merged.groupBy(*by, "measure").agg(F.sum("n").alias("total"), F.collect_list(F.struct("bin", "n")).alias("sketch"))
-    one = one.withColumn("q1", quantile(F.col("sketch"), 0.25)).withColumn("q3", quantile(F.col("sketch"), 0.75))
-    reach = F.lit(k) * (F.col("q3") - F.col("q1"))
+    levels = {"mid": 0.5, **{f"low_{k}": t for k, t in enumerate(TAILS)}, **{f"high_{k}": 1 - t for k, t in enumerate(TAILS)}}
+    one = one.withColumns({name: quantile_bin(F.col("sketch"), q) for name, q in levels.items()})
 
-    def slack(side: int) -> Column:
-        return reduce(lambda c, m: F.when(F.col("measure") == m[0], F.lit(m[1][side]).cast("double")).otherwise(c), MEASURES.items(), F.lit(None).cast("double"))
+    def fence(side: str) -> Column:
+        tail = F.coalesce(*(F.when(F.col(f"{side}_{k}") != F.col("mid"), F.col(f"{side}_{k}")) for k in range(len(TAILS))))
+        return tail + F.lit(reach) * (tail - F.col("mid"))
 
-    return one.select(*by, "measure", "total", (F.col("q1") - reach - slack(0)).alias("low"), (F.col("q3") + reach + slack(1)).alias("high"))
+    two_sided = F.col("measure").isin([m for m, both in MEASURES.items() if both])
+    return one.select(*by, "measure", "total", F.when(two_sided, fence("low")).alias("low"), fence("high").alias("high"))
 
 
-def thresholds(bins: DataFrame, groups: list[str], *, min_rows: int, k: float) -> DataFrame:
-    """(groups, then m_low and m_high of each measure m): the fences of every group.
+def thresholds(bins: DataFrame, groups: list[str], *, min_rows: int, reach: int) -> DataFrame:
+    """(groups, then m_low and m_high of each measure m): the fences of every group, as bins.
 
     A group of fewer than ``min_rows`` documents takes the fences of the merged sketch of
     its first key (the language), and if that has fewer, of all.
     """
-    own, upper, whole = _fences(bins, groups, k), _fences(bins, groups[:1], k), _fences(bins, [], k)
+    own, upper, whole = _fences(bins, groups, reach), _fences(bins, groups[:1], reach), _fences(bins, [], reach)
     upper = upper.select(F.col(groups[0]).alias("__g"), F.col("measure").alias("__m"), *(F.col(c).alias(f"u_{c}") for c in ("total", "low", "high")))
     whole = whole.select(F.col("measure").alias("__w"), F.col("low").alias("w_low"), F.col("high").alias("w_high"))
     all_of = own.join(upper, F.col(groups[0]).eqNullSafe(F.col("__g")) & (F.col("measure") == F.col("__m"))).join(F.broadcast(whole), F.col("measure") == F.col("__w"))
@@ -174,8 +182,8 @@ def judge(
     source_col: str = "source",
     min_words: int = 20,
     repeat_percent: int = 30,
-    min_rows: int = 200,
-    k: float = 3.0,
+    min_rows: int = MIN_ROWS,
+    reach: int = REACH,
 ) -> DataFrame:
     """For every row of ``df`` its id, base counts, ``base_failed`` and ``kept``.
 
@@ -188,11 +196,15 @@ def judge(
     measures = cut(measured(slim, keys=["__id", "__lang", "__source"], text_col="__text", min_words=min_words, repeat_percent=repeat_percent))
     groups = ["__lang", "__source"]
     bins = cut(sketches(measures, groups))
-    limits = thresholds(bins, groups, min_rows=min_rows, k=k)
+    limits = thresholds(bins, groups, min_rows=min_rows, reach=reach)
     limits = limits.withColumnRenamed("__lang", "__l").withColumnRenamed("__source", "__s")
     both = measures.join(limits, F.col("__lang").eqNullSafe(F.col("__l")) & F.col("__source").eqNullSafe(F.col("__s")), "left")
-    # every group of a document that passes the base rules has fences
-    inside = [(F.col(f"{m}_low").isNull() | (v >= F.col(f"{m}_low"))) & (v <= F.col(f"{m}_high")) for m, v in _values().items()]
+
+    def within(m: str, v: Column) -> Column:
+        outside = (bin_of(v) < F.col(f"{m}_low")) | (bin_of(v) > F.col(f"{m}_high"))
+        return (v <= 0) | ~F.coalesce(outside, F.lit(False))
+
+    inside = [within(m, v) for m, v in _values().items()]
     kept = F.when(F.col("base_failed"), F.lit(False)).otherwise(reduce(lambda a, b: a & b, inside))
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     return both.select(F.col("__id").alias(id_col), *counts, "base_failed", kept.alias("kept"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
-from .quality_rules import GAMMA, MEASURES, MOST_BINS, judge
+from .quality_rules import GAMMA, MEASURES, MIN_ROWS, MOST_BINS, REACH, TAILS, judge
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,7 +14,10 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sql() -> str:
     """The rules, sketches and fences as SQL."""
-    slack = lambda side: "CASE measure " + " ".join(f"WHEN '{m}' THEN CAST({s[side]} AS DOUBLE)" for m, s in MEASURES.items() if s[side] is not None) + " END"
+    two_sided = ", ".join(f"'{m}'" for m, both in MEASURES.items() if both)
+    first = lambda side: "coalesce(" + ", ".join(f"nullif({side}_{k}, mid)" for k in range(len(TAILS))) + ")"
+    level = lambda name, q: f"min(bin) FILTER (WHERE cum >= {q!r}::DOUBLE * total) AS {name}"
+    levels = ", ".join([level("mid", 0.5), *(level(f"low_{k}", t) for k, t in enumerate(TAILS)), *(level(f"high_{k}", 1 - t) for k, t in enumerate(TAILS))])
 
     def fences(name: str, by: str) -> str:
         group = f"{by}, measure" if by else "measure"
@@ -24,16 +27,13 @@ def _sql() -> str:
     FROM (SELECT {group}, bin, sum(n) AS n FROM bins GROUP BY {group}, bin)
 ),
 {name}_q AS (
-    SELECT {group}, total, min(bin) FILTER (WHERE cum >= 0.25 * total) AS b1, min(bin) FILTER (WHERE cum >= 0.75 * total) AS b3
-    FROM {name}_cum GROUP BY {group}, total
+    SELECT {group}, total, {levels} FROM {name}_cum GROUP BY {group}, total
 ),
-{name}_v AS (
-    SELECT {group}, total,
-        CASE WHEN b1 = {-MOST_BINS} THEN 0.0::DOUBLE ELSE pow({GAMMA}::DOUBLE, b1) * {2 / (1 + GAMMA)!r}::DOUBLE END AS q1,
-        CASE WHEN b3 = {-MOST_BINS} THEN 0.0::DOUBLE ELSE pow({GAMMA}::DOUBLE, b3) * {2 / (1 + GAMMA)!r}::DOUBLE END AS q3
+{name} AS (
+    SELECT {group}, total, CASE WHEN measure IN ({two_sided}) THEN {first("low")} + {REACH} * ({first("low")} - mid) END AS low,
+        {first("high")} + {REACH} * ({first("high")} - mid) AS high
     FROM {name}_q
-),
-{name} AS (SELECT {group}, total, q1 - 3.0::DOUBLE * (q3 - q1) - {slack(0)} AS low, q3 + 3.0::DOUBLE * (q3 - q1) + {slack(1)} AS high FROM {name}_v)"""
+)"""
 
     return rf"""
 WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS text FROM documents),
@@ -65,22 +65,20 @@ judged AS (
         CASE WHEN n_words > 0 THEN n_echoes::DOUBLE / n_words END AS echo_share
     FROM m
 ),
-each_m AS (
+each_v AS (
     {" UNION ALL ".join(f"SELECT rid, lang, source, '{m}' AS measure, {m} AS v FROM judged WHERE NOT base_failed" for m in MEASURES)}
 ),
-bins AS (
-    SELECT lang, source, measure,
-        CASE WHEN v <= 0 THEN {-MOST_BINS} ELSE CAST(greatest(least(ceil(ln(v) / ln({GAMMA}::DOUBLE)), {MOST_BINS}), {1 - MOST_BINS}) AS INTEGER) END AS bin,
-        count(*) AS n
-    FROM each_m GROUP BY ALL
-),{fences("own", "lang, source")},{fences("upper_of", "lang")},{fences("whole", "")},
+each_m AS (
+    SELECT *, CAST(greatest(least(ceil(ln(v) / ln({GAMMA}::DOUBLE)), {MOST_BINS}), {1 - MOST_BINS}) AS INTEGER) AS bin FROM each_v WHERE v > 0
+),
+bins AS (SELECT lang, source, measure, bin, count(*) AS n FROM each_m GROUP BY ALL),{fences("own", "lang, source")},{fences("upper_of", "lang")},{fences("whole", "")},
 out AS (
     SELECT DISTINCT e.rid FROM each_m e
     JOIN own o ON e.lang IS NOT DISTINCT FROM o.lang AND e.source IS NOT DISTINCT FROM o.source AND e.measure = o.measure
     JOIN upper_of u ON e.lang IS NOT DISTINCT FROM u.lang AND e.measure = u.measure
     JOIN whole t ON e.measure = t.measure
-    WHERE v < CASE WHEN o.total >= 200 THEN o.low WHEN u.total >= 200 THEN u.low ELSE t.low END
-       OR v > CASE WHEN o.total >= 200 THEN o.high WHEN u.total >= 200 THEN u.high ELSE t.high END
+    WHERE e.bin < CASE WHEN o.total >= {MIN_ROWS} THEN o.low WHEN u.total >= {MIN_ROWS} THEN u.low ELSE t.low END
+       OR e.bin > CASE WHEN o.total >= {MIN_ROWS} THEN o.high WHEN u.total >= {MIN_ROWS} THEN u.high ELSE t.high END
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND out.rid IS NULL AS kept
 FROM judged LEFT JOIN out ON judged.rid = out.rid
