@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import cut, drop_path, fresh_path, table
 from .warc import archive
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return archive(table(spark, sf_dir, "pages"))
+    root = fresh_path(spark, "warc")
+    try:
+        return cut(archive(table(spark, sf_dir, "pages"), root))
+    finally:
+        drop_path(spark, root)
 
 
 SQL = """

@@ -8,9 +8,10 @@ directory, one range read of its block, and one range read of its record.
 
 Scale: archives are written by the tasks that hold the pages, index parts by range of
 the key, and look-ups go to the tasks by the same ranges, sorted, so a block is read about
-once. A task's files bear its partition's number and are moved into place when whole, so
-a rerun after a lost executor gives the same files. Hot payloads and hosts are spread:
-the copies of a payload by a salt, and keys by the whole key with the page's id.
+once. A task writes its rows in order to files that bear its partition's number and are
+moved into place when whole, so a rerun after a lost executor makes the same files, byte by
+byte. Pages are shuffled to what they revisit only where many payloads are shared, and hot
+payloads never; hot hosts are spread, as keys are dealt by the whole key with the page's id.
 """
 
 from __future__ import annotations
@@ -31,11 +32,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_path
+from .common import cut, fresh_path, join_keys
 
 #: Lines of an index block, and bytes of records after which a task starts its next archive.
 BLOCK_LINES, ARCHIVE_BYTES = 1000, 1 << 30
-SALTS = 16
+#: Payloads of several pages that are broadcast, at most.
+SHARED = 50_000
+#: Responses whose payloads a task remembers for those that revisit them.
+REMEMBERED = 10_000
 #: Payloads of fewer bytes are never revisited.
 LEAST_REVISIT = 100
 _HEADER_END = b"\r\n\r\n"
@@ -84,9 +88,11 @@ class _Store:
         self.move(part, path)
 
     def move(self, part: str, path: str) -> None:
-        if self.fs.get_file_info(path).type != pafs.FileType.NotFound:
-            self.fs.delete_file(path)
-        self.fs.move(part, path)
+        """Put a file in its place; what another attempt of the task has put there is the same."""
+        if self.fs.get_file_info(path).type == pafs.FileType.NotFound:
+            self.fs.move(part, path)
+        else:
+            self.fs.delete_file(part)
 
     def open(self, name: str):
         return self.fs.open_input_file(f"{self.root}/{name}")
@@ -113,7 +119,7 @@ def _record_id(page: str, digest: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page} {digest}')}>"
 
 
-def page_record(page_id: str, url: str, payload: bytes, digest: str, refers_to: str | None) -> bytes:
+def page_record(page_id: str, url: str, payload: bytes, digest: str, refers_to: str | None, refers_url: str = "") -> bytes:
     """The record of a page: a response with its payload, or a revisit without."""
     uri = re.sub(r"[\r\n]+", " ", url)
     fields = [
@@ -127,7 +133,13 @@ def page_record(page_id: str, url: str, payload: bytes, digest: str, refers_to:
     ]
     if refers_to is None:
         return _record([*fields, ("Content-Type", "text/html; charset=utf-8")], payload)
-    more = [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", _record_id(refers_to, digest)), ("Refers-To-Page-Id", refers_to)]
+    more = [
+        ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"),
+        ("WARC-Refers-To", _record_id(refers_to, digest)),
+        ("WARC-Refers-To-Target-URI", re.sub(r"[\r\n]+", " ", refers_url)),
+        ("Refers-To-Page-Id", refers_to),
+        ("Refers-To-Key", json.dumps(url_key(refers_url))),
+    ]
     return _record([*fields, *more], b"")
 
 
@@ -148,18 +160,15 @@ def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def _with_keepers(pages: DataFrame, least: int) -> DataFrame:
-    """(page_id, url, html, digest, keeper): keeper is the response a page revisits.
-
-    Only digests that several pages have are joined, each spread over ``SALTS`` salts.
-    """
+    """(page_id, url, html, digest, keeper, keeper_url): keeper is the response a page revisits."""
     body = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     known = pages.select("page_id", "url", "html", F.sha2(body, 256).alias("digest"), F.octet_length(body).alias("n_bytes"))
-    shared = known.where(F.col("n_bytes") >= least).groupBy("digest").agg(F.min("page_id").alias("keeper"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    salted = shared.select(F.col("digest").alias("d2"), "keeper", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    salt = F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")
-    both = known.withColumn("s1", salt).join(salted, (F.col("digest") == F.col("d2")) & (F.col("s1") == F.col("salt")), "left")
+    first = F.min(F.struct(F.col("page_id").isNull().alias("null"), "page_id", "url"))
+    shared = known.where(F.col("n_bytes") >= least).groupBy("digest").agg(first.alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = cut(shared.select(F.col("digest").alias("d2"), F.col("first.page_id").alias("keeper"), F.coalesce("first.url", F.lit("")).alias("keeper_url"), "n"))
+    both = join_keys(known, shared, [F.col("digest") == F.col("d2")], weight="n", how="left", most=SHARED)
     keeper = F.when(~F.col("page_id").eqNullSafe(F.col("keeper")), F.col("keeper"))
-    return both.select("page_id", "url", "html", "digest", keeper.alias("keeper"))
+    return both.select("page_id", "url", "html", "digest", keeper.alias("keeper"), "keeper_url").sortWithinPartitions("page_id", "url", "digest")
 
 
 def write_archives(pages: DataFrame, root: str, *, least_revisit: int = LEAST_REVISIT, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
@@ -171,7 +180,7 @@ def write_archives(pages: DataFrame, root: str, *, least_revisit: int = LEAST_RE
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store = _Store(where)
-        task = f"{TaskContext.get().partitionId():06d}-{TaskContext.get().taskAttemptId()}"
+        task = f"{TaskContext.get().partitionId():06d}"
         number, at, out, part = 0, 0, None, ""
         entries: list[list] = [[], [], [], [], []]
 
@@ -185,16 +194,16 @@ def write_archives(pages: DataFrame, root: str, *, least_revisit: int = LEAST_RE
 
         for batch in batches:
             for i in range(len(batch)):
-                page_id, url, html, digest, keeper = (batch.column(k)[i].as_py() for k in range(5))
+                page_id, url, html, digest, keeper, keeper_url = (batch.column(k)[i].as_py() for k in range(6))
                 if out is None:
-                    part = f"{store.root}/warc/.part-{task}-{number}"
+                    part = f"{store.root}/warc/.part-{task}-{number}-{uuid.uuid4().hex}"
                     out = store.fs.open_output_stream(part)
                     info = [("WARC-Type", "warcinfo"), ("WARC-Record-ID", _record_id(name(), "")), ("WARC-Date", "1970-01-01T00:00:00Z")]
                     out.write(gzip.compress(_record(info, b"format: WARC File Format 1.1\r\n"), 6, mtime=0))
                     at = out.tell()
                 payload = (html or "").encode("utf-8", "surrogatepass")
                 said = "" if page_id is None else str(page_id)
-                data = gzip.compress(page_record(said, url or "", payload, digest, None if keeper is None else str(keeper)), 6, mtime=0)
+                data = gzip.compress(page_record(said, url or "", payload, digest, None if keeper is None else str(keeper), keeper_url or ""), 6, mtime=0)
                 out.write(data)
                 for column, x in zip(entries, (url_key(url), page_id, name(), at, len(data))):
                     column.append(x)
@@ -231,9 +240,9 @@ def write_index(entries: DataFrame, root: str, *, parts: int, block_lines: int =
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store = _Store(where)
-        name = f"part-{TaskContext.get().partitionId():06d}-{TaskContext.get().taskAttemptId()}"
+        name = f"part-{TaskContext.get().partitionId():06d}"
         blocks: list[list] = []
-        part = f"{store.root}/index/.{name}"
+        part = f"{store.root}/index/.{name}-{uuid.uuid4().hex}"
         at, lines = 0, []
         with store.fs.open_output_stream(part) as out:
 
@@ -326,9 +335,10 @@ class CaptureIndex:
 def read_back(pages: DataFrame, root: str, *, parts: int) -> DataFrame:
     """One row for each row of ``pages`` (page_id, url), from its record in the archives.
 
-    Columns: page_id, payload_bytes, payload_digest, record_type, refers_to. A response's
-    bytes and digest are of the payload read, which must agree with its header; a
-    revisit's are those its header gives. Rows of equal key get one capture each.
+    Columns: page_id, payload_bytes, payload_digest, record_type, refers_to. Bytes and
+    digest are of the payload read, which must agree with the record's header: a revisit's
+    is that of the response it refers to, found through the index. Rows of equal key get
+    one capture each.
     """
     spark = pages.sparkSession
     # at most one row for each part of the index
@@ -341,16 +351,32 @@ def read_back(pages: DataFrame, root: str, *, parts: int) -> DataFrame:
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = CaptureIndex(root, top)
         last, captures = None, iter(())
+        known: dict[tuple[str, int], set[tuple[int, str]]] = {}
+
+        def read(payload: bytes) -> tuple[int, str]:
+            return len(payload), hashlib.sha256(payload).hexdigest()
+
+        def responses(key: str, page_id: int) -> set[tuple[int, str]]:
+            """Bytes and digests of the payloads that the responses of a key have."""
+            if (key, page_id) not in known:
+                if len(known) >= REMEMBERED:
+                    known.clear()
+                records = [index.record(*c) for c in index.find(key, page_id)]
+                known[key, page_id] = {read(payload) for fields, payload in records if fields["WARC-Type"] == "response"}
+            return known[key, page_id]
+
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
             for key, page_id in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if last != (key, page_id):
                     last, captures = (key, page_id), index.find(key, page_id)
                 fields, payload = index.record(*next(captures))
-                n, digest = int(fields["Payload-Length"]), fields["WARC-Payload-Digest"].removeprefix("sha256:")
-                if fields["WARC-Type"] == "response" and (n, digest) != (len(payload), hashlib.sha256(payload).hexdigest()):
-                    raise ValueError(f"page {page_id}: the payload read is not the one written")
+                said = int(fields["Payload-Length"]), fields["WARC-Payload-Digest"].removeprefix("sha256:")
                 to = fields.get("Refers-To-Page-Id")
+                there = {read(payload)} if to is None else responses(json.loads(fields["Refers-To-Key"]), int(to))
+                if said not in there:
+                    raise ValueError(f"page {page_id}: the payload read is not the one written")
+                n, digest = said
                 for column, x in zip(out, (page_id, n, digest, fields["WARC-Type"], None if to is None else int(to))):
                     column.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string()), pa.array(out[3], pa.string()), pa.array(out[4], pa.int64())], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
@@ -369,7 +395,7 @@ def archive(pages: DataFrame, root: str | None = None, *, parts: int | None = No
     larger than all others. Rows of equal url and page_id are captures of their own, told
     apart by order only. Other columns are not read; empty tables give empty archives.
 
-    root: where files go; a new folder in the shared one by default, which stays.
+    root: where files go; a new folder in the shared one by default. The archives stay.
     """
     spark = pages.sparkSession
     root = root or fresh_path(spark, "warc")

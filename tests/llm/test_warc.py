@@ -4,6 +4,7 @@ import gzip
 import random
 
 import duckdb
+import pytest
 from pyspark.sql import types as T
 
 from quern.llm import warc
@@ -33,8 +34,10 @@ def run_sql(path):
     return sorted(con.execute(ORACLE_SQL["op2_warc"]).fetchall(), key=str)
 
 
-def test_query(spark, tmp_path, monkeypatch):
+@pytest.mark.parametrize("shared", [1, 50_000])
+def test_query(spark, tmp_path, monkeypatch, shared):
     monkeypatch.setattr(warc, "BLOCK_LINES", 7)
+    monkeypatch.setattr(warc, "SHARED", shared)
     spark.createDataFrame([(*r, "x") for r in rows()], SCHEMA).repartition(4).write.parquet(f"{tmp_path}/a/pages.parquet")
     assert sorted(map(tuple, op2_warc(spark, f"{tmp_path}/a").collect()), key=str) == run_sql(f"{tmp_path}/a")
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/b/pages.parquet")
@@ -58,12 +61,30 @@ def test_archives_and_index(spark, tmp_path):
         if html and len({h for p, u, h in rows() if (p, u) == (page_id, url)}) == 1:
             f, payload = found[0]
             assert f["WARC-Type"] == "revisit" or payload == html.encode()
+    # written once more, as by another attempt, the files are the same
+    before = {f.name: f.read_bytes() for f in files}
+    (tmp_path / "w" / "entries").rename(tmp_path / "w" / "entries-before")
+    warc.write_archives(pages, root, archive_bytes=3000)
+    assert {f.name: f.read_bytes() for f in (tmp_path / "w" / "warc").glob("*")} == before
     assert not list(index.find("com,nowhere)/", 1))
     index.blocks_read = 0
     list(index.find("com,example,h1)/7", 7))
     assert index.blocks_read <= 2
 
 
+def test_a_revisit_without_its_response_fails(spark, tmp_path):
+    root = f"file:{tmp_path}/w"
+    pages = spark.createDataFrame([(1, "http://a/", "x" * 200, ""), (2, "http://b/", "x" * 200, "")], SCHEMA)
+    entries = warc.write_archives(pages, root)
+    warc.write_index(entries, root, parts=2)
+    assert [tuple(r) for r in sorted(warc.read_back(pages, root, parts=2).collect())][1][3:] == ("revisit", 1)
+    (tmp_path / "w" / "parts").rename(tmp_path / "w" / "parts-before")
+    warc.write_index(entries.where("page_id = 2"), f"{root}/lost", parts=2)
+    (tmp_path / "w" / "lost" / "warc").symlink_to(tmp_path / "w" / "warc")
+    with pytest.raises(Exception, match="not the one written"):
+        warc.read_back(pages.where("page_id = 2"), f"{root}/lost", parts=2).collect()
+
+
 def test_documents(spark):
     sf = "/root/testdata/sf0.001"
     con = duckdb.connect()
