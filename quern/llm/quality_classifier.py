@@ -13,6 +13,7 @@ aggregated map-side. Only the bounded training sample goes to the driver.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from operator import eq
 from typing import NamedTuple
@@ -23,14 +24,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut
+from .common import cut, join_keys
 
 #: Labelled rows that the classifier is fitted on, at most: those of smallest hash.
 SAMPLE_ROWS = 20_000
-#: Sites that are broadcast, at most; more are joined like any table.
+#: Sites that are broadcast, at most; of more, only those of a large share are.
 BROADCAST_SITES = 100_000
-#: Bytes of one text that are split into words at a time.
+#: Bytes of one text that are split into words at a time, besides what is left of the last word.
 _PIECE = 8_000_000
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
 #: Documents' own evidence is held to this many nats either way.
 _MOST_LOGIT = 12.0
 
@@ -42,12 +44,11 @@ N_FEATURES = len(_CLASSES) + 5
 
 
 def _pieces(data: bytes) -> Iterator[bytes]:
+    """The bytes in pieces that end at white space, so that no word is cut."""
     at = 0
     while at < len(data):
-        to = at + _PIECE
-        if to < len(data):
-            space = data.rfind(b" ", at, to)
-            to = space if space > at else to
+        space = _SPACE.search(data, at + _PIECE)
+        to = space.start() if space else len(data)
         yield data[at:to]
         at = to
 
@@ -56,11 +57,12 @@ def features(text: str | None) -> tuple[int, np.ndarray]:
     """Words of a text, and its features: rates of kinds of characters and repetition."""
     data = (text or "").encode("utf-8", "surrogatepass")
     counts = np.bincount(np.frombuffer(data, np.uint8), minlength=256) @ _CLASS_OF
-    n, echoes, lengths, distinct = 0, 0, 0, set()
+    n, echoes, lengths, distinct, last = 0, 0, 0, set(), []
     for piece in _pieces(data):
         words = piece.split()
         n += len(words)
-        echoes += sum(map(eq, words, words[1:]))
+        echoes += sum(map(eq, words, words[1:])) + (last == words[:1] != [])
+        last = words[-1:] or last
         lengths += sum(map(len, words))
         distinct.update(words)
     if not n:
@@ -163,10 +165,8 @@ class SiteModel(NamedTuple):
 
     def scored(self, docs: DataFrame, threshold: float, most_shift: float) -> DataFrame:
         """``docs`` (host, path, evidence) with posteriors, ``score`` and ``kept``."""
-        sites = self.sites
-        if sites.limit(BROADCAST_SITES + 1).count() <= BROADCAST_SITES:
-            sites = F.broadcast(sites)
-        both = docs.join(sites, F.col("host").eqNullSafe(F.col("h2")) & F.col("path").eqNullSafe(F.col("p2")), "left")
+        same = [F.col("host").eqNullSafe(F.col("h2")), F.col("path").eqNullSafe(F.col("p2"))]
+        both = join_keys(docs, self.sites, same, weight="n", how="left", most=BROADCAST_SITES)
         # without the document itself, whose evidence comes on its own
         e, some = F.col("evidence"), F.col("evidence") > 0
         host = (F.col("s_h") - e + self.k_h * self.mean) / (F.col("n_h") - 1 + self.k_h)
