@@ -42,6 +42,8 @@ class Block:
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         order = np.argsort(ids, kind="stable")
         self.ids, self.vectors = ids[order], vectors[order]
+        #: queries, and the vectors that they have met
+        self.asked = self.met = 0
         self.lists = np.argsort(-self.vectors, axis=0, kind="stable")
         self.values = np.take_along_axis(self.vectors, self.lists, axis=0)
 
@@ -75,16 +77,17 @@ class Block:
             if len(at) == k and bound < scores.min():
                 break
             depth, more = to, 2 * more
+        self.asked, self.met = self.asked + 1, self.met + int(seen.sum())
         keep = np.lexsort((self.ids[at], -scores))[:k]
         return self.ids[at[keep]], scores[keep]
 
 
-def _distinct(ids: np.ndarray, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Without repeated rows of equal id and vector."""
+def _distinct(ids: np.ndarray, vectors: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Without repeated rows of equal id and vector, as given."""
     if len(np.unique(ids)) == len(ids):
         return ids, vectors
     first: dict[tuple, int] = {}
-    for i, (d, v) in enumerate(zip(ids.tolist(), vectors.tolist())):
+    for i, (d, v) in enumerate(zip(ids.tolist(), raw.tolist())):
         first.setdefault((d, *v), i)
     keep = list(first.values())
     return ids[keep], vectors[keep]
@@ -96,20 +99,20 @@ def _searcher(k: int, scale: float) -> Callable[[pa.Table], pa.Table]:
         ids = group.column("id").to_numpy()
         lists = group.column("vec").combine_chunks()
         dim = group.column("dim")[0].as_py()
-        vectors = quantised(lists.flatten().to_numpy(zero_copy_only=False).reshape(len(ids), dim), scale)
-        own = _distinct(ids[~asked], vectors[~asked])
-        queries = _distinct(ids[asked], vectors[asked])
+        raw = lists.flatten().to_numpy(zero_copy_only=False).reshape(len(ids), dim)
+        vectors = quantised(raw, scale)
+        own = _distinct(ids[~asked], vectors[~asked], raw[~asked])
+        nth = group.column("nth").to_numpy()
         out: list[list] = [[], [], [], []]
         if len(own[0]):
             block = Block(*own)
-            low, high = -(2**63), 2**63 - 1
-            for d, q in zip(*queries):
+            for d, i, q in zip(ids[asked], nth[asked], vectors[asked]):
                 found, scores = block.best(q, d, k)
-                # equal ids of other vectors are queries of their own
-                key = hash(tuple(q.tolist()))
-                for column, x in zip(out, ([int(d)] * len(found), [key] * len(found), found.tolist(), [max(low, min(high, int(s))) for s in scores])):
+                if len(scores) and max(abs(int(s)) for s in scores) >= 2**63:
+                    raise OverflowError(f"a score of query {d} is beyond a long")
+                for column, x in zip(out, ([int(d)] * len(found), [int(i)] * len(found), found.tolist(), [int(s) for s in scores])):
                     column += x
-        return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("query_id", "key", "vec_id", "score"), out)})
+        return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("query_id", "nth", "vec_id", "score"), out)})
 
     return search
 
@@ -121,9 +124,10 @@ def top_k(df: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding
     vectors' components turned into floor(scale * x), an integer; equal scores rank by
     smaller id. Rows of null id, and of null vectors or ones with null or non-finite
     components, take no part. Vectors answer queries of their own length. Repeated rows
-    of equal id and vector count once; rows of a query's own id never answer it. Scores
-    beyond a long are held at its ends. Other columns are not read; an empty table, or
-    one without queries, gives an empty result.
+    of equal id and vector count once; rows of a query's own id never answer it, and rows of
+    equal id and other vectors are queries of their own. A result's score beyond a long
+    fails the query. Other columns are not read; an empty table, or one without queries,
+    gives an empty result.
     """
     spark = df.sparkSession
     vec = F.col("vec")
@@ -138,9 +142,11 @@ def top_k(df: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding
         return F.pmod(F.xxhash64(F.lit(salt), "id"), F.lit(of)).cast("int")
 
     every = lambda of: F.explode(F.sequence(F.lit(0), F.lit(of - 1)))
-    answers = rows.select("id", "vec", "dim", F.lit(False).alias("is_query"), part(1, blocks).alias("block"), every(asks).alias("ask"))
-    queries = rows.where("is_query").select("id", "vec", "dim", F.lit(True).alias("is_query"), part(2, asks).alias("ask"), every(blocks).alias("block"))
+    answers = rows.select("id", F.lit(0).alias("nth"), "vec", "dim", F.lit(False).alias("is_query"), part(1, blocks).alias("block"), every(asks).alias("ask"))
+    # the different vectors of an id are numbered
+    asking = rows.where("is_query").select("id", "vec", "dim").distinct().withColumn("nth", F.row_number().over(W.partitionBy("id").orderBy("vec")))
+    queries = asking.select("id", "nth", "vec", "dim", F.lit(True).alias("is_query"), part(2, asks).alias("ask"), every(blocks).alias("block"))
     cells = answers.unionByName(queries).groupBy("dim", "block", "ask")
-    best = cells.applyInArrow(_searcher(k, scale), "query_id long, key long, vec_id long, score long")
-    order = W.partitionBy("query_id", "key").orderBy(F.col("score").desc(), "vec_id")
+    best = cells.applyInArrow(_searcher(k, scale), "query_id long, nth long, vec_id long, score long")
+    order = W.partitionBy("query_id", "nth").orderBy(F.col("score").desc(), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -6,6 +6,7 @@ import random
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.llm import topk
@@ -32,6 +33,8 @@ def rows():
         out.append((i, [float(np.float32(x)) for x in v]))
     out += [(1000, [1.0, 2.0]), (1001, [1.0, -2.0]), (1100, []), (1101, []), (1200, None), (1300, [1.0, None] * 4), (1400, [float("nan")] * 8), (1500, [float("inf")] * 8)]
     out += [(1600, [0.0] * 8), (None, [1.0] * 8), out[100], out[7], (7, out[8][1]), (200, out[9][1]), (1700, [3.0])]
+    # other vectors of one id that hash alike or are equal once turned into integers
+    out += [(100, [0.5] * 7 + [-1.0 / 1024]), (100, [0.5] * 7 + [-2.0 / 1024]), (300, [0.25] * 8), (300, [0.25 + 1 / 4096] * 8), (301, [0.25] * 8), (301, [0.25 + 1 / 4096] * 8)]
     return out
 
 
@@ -57,6 +60,24 @@ def test_threshold_algorithm_stops_early_and_right(k):
         assert list(zip((-got[1]).tolist(), got[0].tolist())) == want
 
 
+def test_scores_beyond_a_long_fail(spark):
+    df = spark.createDataFrame([(0, [1e17]), (1, [1e17])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="beyond a long"):
+        topk.top_k(df, is_query=F.col("vec_id") == 0).collect()
+
+
+def test_share_of_vectors_met():
+    """The stop prunes where few dimensions have most of the spread, and not where all are alike."""
+    rng = np.random.default_rng(8)
+    met = []
+    for spread in (np.r_[400, 200, np.full(6, 4)], np.full(64, 125)):
+        block = topk.Block(np.arange(4000), rng.normal(0, spread, (4000, len(spread))).astype(np.int64))
+        for q in rng.normal(0, spread, (20, len(spread))).astype(np.int64):
+            block.best(q, -1, 10)
+        met.append(block.met / (block.asked * 4000))
+    assert met[0] < 0.5 and met[1] > 0.9, met
+
+
 def test_huge_components():
     m = topk.quantised([[1e30, 1.0], [-1e30, 2.0]], 1024.0)
     assert m.dtype == object
