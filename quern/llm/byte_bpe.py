@@ -3,7 +3,9 @@
 Method: a batch's distinct pre-tokens go, by length, into padded numpy matrices of
 symbol ids. In each round every row merges its leftmost pair of minimum rank; pair ranks
 come from a hash table over whole matrices, and each round compacts the matrix by the
-merged column. Rows with nothing left to merge leave the matrix.
+merged column. Rows with nothing left to merge leave the matrix. Pre-tokens of over
+``LONGEST_ROW`` bytes lie end to end in one array instead of being padded; a round there
+also merges the further places of the same rank that would come next.
 
 One map over the rows: no shuffle, nothing is collected, a lost task is simply rerun.
 Memory is bounded by the slices a batch is cut into, not by its longest text.
@@ -25,13 +27,15 @@ from pyspark.sql import types as T
 
 from .pairs import NEVER, PairTable, merge_long
 
-#: Pre-tokens of more bytes are merged over a heap instead of a matrix, with equal result.
+#: Pre-tokens of more bytes are not padded.
 LONGEST_ROW = 256
 #: Characters of text, and pre-tokens, that are held as Python objects at a time.
 SLICE_CHARS, SLICE_TOKENS = 4_000_000, 1_000_000
 #: Entries of the cache of pre-tokens, which a task drops when it ends.
 CACHE = 400_000
 _ROWS = 32_768
+#: Bytes of long pre-tokens that share rounds.
+_LONG = 1_000_000
 
 
 class ByteBPE:
@@ -102,15 +106,29 @@ class ByteBPE:
     def _encode_new(self, words: list[str]) -> None:
         """Put the ids of distinct pre-tokens into the cache."""
         buckets: dict[int, list[tuple[str, bytes]]] = {}
+        long: list[str] = []
+        held = 0
+
+        def flush() -> None:
+            rows = [self.bytes_to_id[np.frombuffer(w.encode("utf-8", "surrogatepass"), np.uint8)] for w in long]
+            for w, ids in zip(long, merge_long(rows, self.table)):
+                self._cache[w] = tuple(ids.tolist())
+            long.clear()
+
         for w in words:
             b = w.encode("utf-8", "surrogatepass")
             if (whole := self.ranks.get(b)) is not None:
                 self._cache[w] = (whole,)
             elif len(b) > LONGEST_ROW:
-                self._cache[w] = tuple(merge_long(self.bytes_to_id[np.frombuffer(b, np.uint8)].tolist(), self.table))
+                long.append(w)
+                held += len(b)
+                if held > _LONG:
+                    flush()
+                    held = 0
             else:
                 width = max(4, 1 << (len(b) - 1).bit_length()) if len(b) > 16 else 2 * ((len(b) + 1) // 2)
                 buckets.setdefault(width, []).append((w, b))
+        flush()
         for width, own in buckets.items():
             for i in range(0, len(own), _ROWS):
                 part = own[i : i + _ROWS]

@@ -1,5 +1,5 @@
 """Merge tables for byte-pair encoders: a vectorised open-addressing hash table of
-symbol pairs, and an exact merge of one long sequence."""
+symbol pairs, and rounds of merges over one long sequence."""
 
 from __future__ import annotations
 
@@ -34,8 +34,6 @@ class PairTable:
             self._slots[spots], self._rank[spots], self._merged[spots] = keys[placed], rank[placed], merged[placed]
             todo = np.setdiff1d(todo, placed, assume_unique=True)
             at[todo] = (at[todo] + 1) & self._mask
-        self._dict: dict[tuple[int, int], tuple[int, int]] | None = None
-        self._source = (left, right, rank, merged)
 
     def _home(self, keys: np.ndarray) -> np.ndarray:
         return ((keys * _MULTIPLIER) >> self._shift).astype(np.int64)
@@ -61,38 +59,77 @@ class PairTable:
         at = self._find(left, right)
         return self._rank[at], self._merged[at]
 
-    def as_dict(self) -> dict[tuple[int, int], tuple[int, int]]:
-        if self._dict is None:
-            left, right, rank, merged = (x.tolist() for x in self._source)
-            self._dict = dict(zip(zip(left, right), zip(rank, merged)))
-        return self._dict
 
+def merge_long(rows: list[np.ndarray], table: PairTable) -> list[np.ndarray]:
+    """The merges of long sequences: lowest rank first, and leftmost among equals, in each.
 
-def merge_long(symbols: list[int], table: PairTable) -> list[int]:
-    """The merges of one long sequence, lowest rank first and leftmost among equals.
-
-    A heap over a linked list: n log n, where rounds over a matrix would be n squared.
+    Rounds over one flat array of all rows, with links between what is left. A round takes
+    the lowest rank and merges its places from the left, all at once, up to the first that
+    makes a pair of no higher rank, which comes first then. Places are kept by rank, so
+    that a round costs what it merges and not the whole length.
     """
-    pairs = table.as_dict()
-    n = len(symbols)
-    ids = list(symbols)
-    before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-    heap = []
-    for i in range(n - 1):
-        if (hit := pairs.get((ids[i], ids[i + 1]))) is not None:
-            heap.append((hit[0], i, ids[i], ids[i + 1], hit[1]))
-    heapq.heapify(heap)
-    alive = bytearray(b"\x01") * n
-    while heap:
-        _, i, a, b, merged = heapq.heappop(heap)
-        if not alive[i] or ids[i] != a or (j := after[i]) >= n or ids[j] != b:
+    # a symbol that is none on either side of each row: its pairs never merge
+    if not rows:
+        return []
+    none = np.full(1, -1, np.int64)
+    ids = np.concatenate([none, *(x for row in rows for x in (row.astype(np.int64), none))])
+    n = len(ids)
+    row_of = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    before, after = np.arange(-1, n - 1), np.arange(1, n + 1)
+    rank, into = np.full(n, NEVER, np.int32), np.full(n, -1, np.int32)
+    real, alive = ids >= 0, np.ones(n, bool)
+    places: dict[int, list[np.ndarray]] = {}
+    waiting: list[int] = []
+
+    def look(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ranks and results of pairs."""
+        r, m = np.full(len(left), NEVER, np.int32), np.full(len(left), -1, np.int32)
+        both = (left >= 0) & (right >= 0)
+        r[both], m[both] = table.ranks_and_merged(left[both], right[both])
+        return r, m
+
+    def put(r: int, at: np.ndarray) -> None:
+        if r not in places:
+            places[r] = []
+            heapq.heappush(waiting, r)
+        places[r].append(at)
+
+    def ranked(at: np.ndarray) -> None:
+        """Look up the pairs that begin at these places, and keep the places by rank."""
+        rank[at], into[at] = look(ids[at], ids[after[at]])
+        at = at[rank[at] != NEVER]
+        order = at[np.argsort(rank[at], kind="stable")]
+        cuts = np.flatnonzero(np.diff(rank[order])) + 1
+        for part in np.split(order, cuts) if len(order) else ():
+            put(int(rank[part[0]]), part)
+
+    ranked(np.flatnonzero(real))
+    while waiting:
+        r = heapq.heappop(waiting)
+        every = np.unique(np.concatenate(places.pop(r)))
+        every = every[rank[every] == r]  # the others have merged otherwise
+        if not len(every):
             continue
-        ids[i], alive[j] = merged, 0
-        after[i] = k = after[j]
-        if k < n:
-            before[k] = i
-            if (hit := pairs.get((merged, ids[k]))) is not None:
-                heapq.heappush(heap, (hit[0], i, merged, ids[k], hit[1]))
-        if (h := before[i]) >= 0 and (hit := pairs.get((ids[h], merged))) is not None:
-            heapq.heappush(heap, (hit[0], h, ids[h], merged, hit[1]))
-    return [ids[i] for i in range(n) if alive[i]]
+        # of places that overlap, every other one from the left of their run
+        nth = np.arange(len(every))
+        run = np.maximum.accumulate(np.where(np.r_[True, after[every[:-1]] != every[1:]], nth, 0))
+        at = every[(nth - run) % 2 == 0]
+        right, merged = after[at], into[at].astype(np.int64)
+        # when one is merged, what is left of it has been, and what is right of it has not
+        left_id = ids[before[at]]
+        touching = np.r_[False, after[right[:-1]] == at[1:]]
+        left_id[touching] = merged[:-1][touching[1:]]
+        sooner = (look(left_id, merged)[0] <= r) | (look(merged, ids[after[right]])[0] <= r)
+        if sooner.any():
+            end = int(sooner.argmax()) + 1
+            at, right, merged = at[:end], right[:end], merged[:end]
+            if len(rest := every[every > right[-1]]):
+                put(r, rest)
+        ids[at] = merged
+        rank[right], alive[right] = NEVER, False
+        following = after[right]
+        after[at], before[following] = following, at
+        touched = np.unique(np.concatenate([at, before[at]]))
+        ranked(touched[real[touched]])
+    keep = alive[real]
+    return np.split(ids[real][keep], np.cumsum(np.bincount(row_of[keep], minlength=len(rows)))[:-1])

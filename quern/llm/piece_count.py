@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -23,24 +24,74 @@ from .pairs import NEVER, PairTable, merge_long
 
 #: What the model writes for a space.
 SPACE = "▁"
-#: Pre-tokens of more symbols are merged over a heap, with equal result.
+#: Pre-tokens of more symbols share rounds that keep their places by rank.
 LONGEST_ROW = 256
-SLICE_CHARS = 4_000_000
+#: Characters of text, and pre-tokens, that are held as Python objects at a time.
+SLICE_CHARS, SLICE_TOKENS = 4_000_000, 1_000_000
 CACHE = 600_000
 _FLAT = 2_000_000
 _CHUNK = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
+def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """(number, value) of the fields of a protocol buffer message."""
+    at = 0
+
+    def number() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            byte = data[at]
+            at += 1
+            value |= (byte & 127) << shift
+            shift += 7
+            if byte < 128:
+                return value
+
+    while at < len(data):
+        key = number()
+        if key & 7 == 0:
+            yield key >> 3, number()
+        else:
+            size = {1: 8, 5: 4}.get(key & 7)
+            size = number() if size is None else size
+            yield key >> 3, data[at : at + size]
+            at += size
+
+
+def unsupported(model: bytes) -> str | None:
+    """What a model asks for that :class:`PieceCounter` does not do, if anything.
+
+    Fields of the public model format: 2 the trainer's settings (3 kind of model, where 2
+    is BPE; 24 spaces as suffixes; 35 bytes for unknown characters), 3 the normaliser's (2
+    a table of replaced characters; 3 a space before the text; 4 spaces removed; 5 spaces
+    written as a sign).
+    """
+    parts = dict(_fields(model))
+    trainer, normaliser = (dict(_fields(parts.get(k, b""))) for k in (2, 3))
+    wanted = [
+        (trainer.get(3, 1) == 2, "only BPE models are supported"),
+        (not trainer.get(24, 0), "spaces as suffixes are not supported"),
+        (trainer.get(35, 0), "unknown characters must fall back to bytes"),
+        (not normaliser.get(2), "a table of replaced characters is not supported"),
+        (normaliser.get(3, 1) and normaliser.get(5, 1), "spaces must be written as a sign, with one before the text"),
+        (not normaliser.get(4, 1), "spaces may not be removed"),
+    ]
+    return next((why for ok, why in wanted if not ok), None)
+
+
 class PieceCounter:
     """Counts tokens as the model's library would, with its byte fallback.
 
-    Supports models whose text is not normalised beyond spaces, that put a space before
-    the text, and none of whose pieces has a space after another character; then no
-    merge crosses such a place and texts can be cut there.
+    Supports models whose text is not normalised beyond spaces and that put a space before
+    the text; others are refused. Where no piece has a space after another character, no
+    merge crosses such a place, and texts are cut there.
     """
 
     def __init__(self, model_path: str):
         sp = sentencepiece.SentencePieceProcessor(model_file=model_path)
+        if why := unsupported(sp.serialized_model_proto()):
+            raise ValueError(f"{model_path}: {why}")
         ids = {}
         score = {}
         for i in range(sp.vocab_size()):
@@ -106,38 +157,54 @@ class PieceCounter:
         return counts
 
     def _count_new(self, words: list[str]) -> None:
-        batch: list[tuple[str, list[int], int]] = []
+        short: list[tuple[str, list[int], int]] = []
+        long: list[tuple[str, list[int], int]] = []
         held = 0
 
         def flush() -> None:
-            for (w, _, more), n in zip(batch, self._ragged([s for _, s, _ in batch])):
+            for (w, _, more), n in zip(short, self._ragged([s for _, s, _ in short])):
                 self._cache[w] = int(n) + more
+            for (w, _, more), left in zip(long, merge_long([np.array(s, np.int64) for _, s, _ in long], self.table)):
+                self._cache[w] = int((left != self.unknown).sum()) + more
+            short.clear(), long.clear()
 
         for w in words:
             symbols, more = self._symbols(w)
-            if len(symbols) > LONGEST_ROW:
-                self._cache[w] = sum(s != self.unknown for s in merge_long(symbols, self.table)) + more
-                continue
-            batch.append((w, symbols, more))
+            (long if len(symbols) > LONGEST_ROW else short).append((w, symbols, more))
             held += len(symbols)
             if held > _FLAT:
                 flush()
-                batch, held = [], 0
-        if batch:
-            flush()
+                held = 0
+        flush()
 
     def forget(self) -> None:
         self._cache = {}
 
-    def counts(self, texts: list[str]) -> list[int]:
-        marked = [(SPACE + t.replace(" ", SPACE)) if t else "" for t in texts]
-        words = [_CHUNK.findall(t) if self.cuts else [t] * bool(t) for t in marked]
-        every = set().union(*words)
-        if len(new := every.difference(self._cache)) + len(self._cache) > CACHE:
+    def _learn(self, words: set[str]) -> None:
+        """Have the cache hold all of ``words``."""
+        if len(new := words.difference(self._cache)) + len(self._cache) > CACHE:
             self._cache.clear()
-            new = every
+            new = words
         self._count_new(list(new))
-        return [sum(map(self._cache.__getitem__, w)) for w in words]
+
+    def _long(self, marked: str) -> int:
+        """Tokens of a long text, whose words are held slice by slice."""
+        found, n = (m.group() for m in _CHUNK.finditer(marked)), 0
+        while part := list(islice(found, SLICE_TOKENS)):
+            self._learn(set(part))
+            n += sum(map(self._cache.__getitem__, part))
+        return n
+
+    def counts(self, texts: list[str]) -> list[int]:
+        """Tokens of each text; short texts share the rounds of merges."""
+        marked = [(SPACE + t.replace(" ", SPACE)) if t else "" for t in texts]
+        if not self.cuts:
+            words = [[t] * bool(t) for t in marked]
+        else:
+            words = [_CHUNK.findall(t) if len(t) <= SLICE_CHARS else [] for t in marked]
+        long = [self._long(t) if self.cuts and len(t) > SLICE_CHARS else 0 for t in marked]
+        self._learn(set().union(*words))
+        return [n + sum(map(self._cache.__getitem__, w)) for n, w in zip(long, words)]
 
 
 _LOADED: dict[str, PieceCounter] = {}

@@ -42,6 +42,34 @@ def test_bpe_equals_library(tik):
     assert [bpe.decode(g).decode() for g in got] == texts()
 
 
+LONG = ["a" * 3001, "ab" * 700, "é" * 999, "=" * 2000 + "-" * 777, "日本語テキスト" * 90, "x" * 100_000, "".join(random.Random(1).choice("etaoinshr") for _ in range(20_000))]
+LONG += ["".join(random.Random(k).choices("abcde"[: 2 + k % 4], k=300 + 7 * k)) for k in range(60)] + ["\n" * 400 + " " * 700]
+
+
+@pytest.mark.parametrize("longest", [1, 3, 256])
+def test_long_pre_tokens(tik, sp, monkeypatch, longest):
+    """Rounds over flat arrays give what the libraries give, for short pre-tokens too."""
+    monkeypatch.setattr(byte_bpe, "LONGEST_ROW", longest)
+    monkeypatch.setattr(byte_bpe, "_LONG", 5000)
+    monkeypatch.setattr(piece_count, "LONGEST_ROW", longest)
+    own = LONG + texts()
+    bpe = byte_bpe.ByteBPE(P.path(RANKS), P.PATTERN)
+    assert [[i for part in parts for i in part] for parts in bpe.ids(own)] == [tik.encode_ordinary(t) for t in own]
+    assert piece_count.PieceCounter(P.path(MODEL)).counts(own) == [len(x) for x in sp.encode(own)]
+    monkeypatch.setattr(piece_count, "SLICE_CHARS", 100)
+    monkeypatch.setattr(piece_count, "SLICE_TOKENS", 7)
+    assert piece_count.PieceCounter(P.path(MODEL)).counts(own) == [len(x) for x in sp.encode(own)]
+
+
+def test_other_models_are_refused():
+    piece = lambda number, value: bytes([number << 3 & 127 | 128 * (number > 15)] + [number >> 4] * (number > 15) + [value])
+    part = lambda number, data: bytes([number << 3 | 2, len(data)]) + data
+    good = part(2, piece(3, 2) + piece(35, 1)) + part(3, piece(4, 0))
+    assert piece_count.unsupported(good) is None
+    for bad in (b"", part(2, piece(35, 1)), part(2, piece(3, 2)), good + part(3, piece(4, 1)), good + part(3, piece(4, 0) + piece(3, 0)), good + part(3, piece(4, 0) + part(2, b"map"))):
+        assert piece_count.unsupported(bad)
+
+
 def test_bpe_slices_and_small_cache(tik, monkeypatch):
     monkeypatch.setattr(byte_bpe, "SLICE_CHARS", 50)
     monkeypatch.setattr(byte_bpe, "SLICE_TOKENS", 7)
