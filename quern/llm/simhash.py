@@ -9,7 +9,8 @@ in a cell are compared, exactly, by their differing bits.
 
 Scale: exact copies collapse to one fingerprint before the join, each fingerprint makes a
 fixed number of cell rows, and a cell yields a spanning forest of its links, never all
-pairs. Components come from min-label contraction in DataFrames, cut by checkpoints.
+pairs. A cell of many fingerprints is split into blocks, of which every two meet in a group
+of their own. Components come from min-label contraction in DataFrames, cut by checkpoints.
 """
 
 from __future__ import annotations
@@ -23,13 +24,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut
+from .common import cut, join_keys
 
 #: Shingles whose bits are counted at a time: 64 bytes each.
 _BLOCK = 65_536
 #: Bytes of documents that share a round of counting.
 _CHARS = 1_000_000
 SEGMENT_BITS = 2
+#: Fingerprints of a cell's block, about, and cells that are split, at most: the largest.
+BLOCK, MOST_SPLIT = 20_000, 100_000
+#: One fingerprint in so many is looked at for large cells; it moves work, not results.
+_SAMPLE = 16
 
 
 # -- fingerprints -------------------------------------------------------------------
@@ -157,6 +162,28 @@ def cells(fps: np.ndarray, max_bits: int, segment_bits: int) -> tuple[np.ndarray
     return np.concatenate(who), np.concatenate(what)
 
 
+def split_cells(who: np.ndarray, what: np.ndarray, fps: np.ndarray, large: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """As ``who`` and ``what``, with large cells replaced by groups of two blocks each.
+
+    large: cells in order, and the blocks that each has. A fingerprint is in one block, and
+    so in as many groups as there are blocks. Groups are named by a hash; those that share a
+    name are only compared together.
+    """
+    cell, blocks = large
+    if not len(cell):
+        return who, what
+    at = np.minimum(np.searchsorted(cell, what), len(cell) - 1)
+    is_large = cell[at] == what
+    w, c, g = who[is_large], what[is_large].astype(np.uint64), blocks[at[is_large]]
+    own = (fps[w] * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % g
+    of = np.repeat(np.arange(len(w)), g)
+    other = np.arange(len(of)) - np.repeat(np.cumsum(g) - g, g)
+    low, high = np.minimum(own[of], other), np.maximum(own[of], other)
+    name = (c[of] * np.uint64(0xBF58476D1CE4E5B9) ^ (low * (1 << 20) + high).astype(np.uint64)) * np.uint64(0x94D049BB133111EB)
+    name ^= name >> np.uint64(29)
+    return np.concatenate([who[~is_large], w[of]]), np.concatenate([what[~is_large], name.view(np.int64)])
+
+
 def _forest(n: int, links: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     """Smallest index in each of n points' component, for links in blocks."""
     label = np.arange(n)
@@ -212,13 +239,26 @@ def links(fps: DataFrame, column: str, max_bits: int, segment_bits: int = SEGMEN
     Not every pair is there, but every pair is connected through those that are.
     """
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = batch.column(0).to_numpy().view(np.uint64)
-            for i in range(0, len(own), 10_000):
-                part = own[i : i + 10_000]
-                who, what = cells(part, max_bits, segment_bits)
-                yield pa.RecordBatch.from_arrays([pa.array(what), pa.array(part[who].view(np.int64))], names=["cell", "fp"])
+    def spread(large: tuple[np.ndarray, np.ndarray]):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                own = batch.column(0).to_numpy().view(np.uint64)
+                for i in range(0, len(own), 10_000):
+                    part = own[i : i + 10_000]
+                    who, what = split_cells(*cells(part, max_bits, segment_bits), part, large)
+                    yield pa.RecordBatch.from_arrays([pa.array(what), pa.array(part[who].view(np.int64))], names=["cell", "fp"])
+
+        return run
+
+    none = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def large_cells() -> tuple[np.ndarray, np.ndarray]:
+        few = fps.where(F.pmod(F.xxhash64(column), F.lit(_SAMPLE)) == 0).select(column).mapInArrow(spread(none), "cell long, fp long")
+        counted = few.groupBy("cell").agg((F.count(F.lit(1)) * _SAMPLE).alias("n")).where(F.col("n") > BLOCK)
+        rows = counted.orderBy(F.desc("n"), "cell").limit(MOST_SPLIT).toArrow()
+        cell, n = rows.column("cell").to_numpy(), rows.column("n").to_numpy()
+        order = np.argsort(cell)
+        return cell[order], -(-n[order] // BLOCK) + 1
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, fp = np.zeros(0, np.int64), np.zeros(0, np.uint64)
@@ -239,7 +279,9 @@ def links(fps: DataFrame, column: str, max_bits: int, segment_bits: int = SEGMEN
                 cell, fp = cell[whole:], fp[whole:]
         yield out(cell, fp)
 
-    spread_out = fps.select(F.col(column)).mapInArrow(spread, "cell long, fp long")
+    # no cell has more than there are fingerprints
+    large = large_cells() if fps.count() > BLOCK else none
+    spread_out = fps.select(F.col(column)).mapInArrow(spread(large), "cell long, fp long")
     together = spread_out.repartition("cell").sortWithinPartitions("cell")
     return together.mapInArrow(meet, "a long, b long").distinct()
 
@@ -285,18 +327,18 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
 
 
 def _classes(df: DataFrame, id_col: str, text_col: str, width: int, max_bits: int, segment_bits: int) -> DataFrame:
-    """(__id, __row, __fp, root, component_id) of every row; __row is the text's hash."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = df.select(F.col(id_col).alias("__id"), F.xxhash64(text).alias("__row"), F.col(text_col).alias("__own"))
-    own = cut(with_fingerprints(keyed, keys=["__id", "__row"], text_col="__own", width=width, name="__fp"))
-    distinct = cut(own.groupBy("__fp").agg(F.min("__id").alias("low")))
+    """(__id, __fp, component_id) of every row."""
+    keyed = df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__own"))
+    own = cut(with_fingerprints(keyed, keys=["__id"], text_col="__own", width=width, name="__fp"))
+    distinct = cut(own.groupBy("__fp").agg(F.min("__id").alias("low"), F.count(F.lit(1)).alias("n_rows")))
     tree = components(links(distinct, "__fp", max_bits, segment_bits))
-    rooted = distinct.join(tree, distinct["__fp"] == tree["node"], "left").select("__fp", "low", F.coalesce("root", "__fp").alias("root"))
+    rooted = distinct.join(tree, distinct["__fp"] == tree["node"], "left").select("__fp", "low", "n_rows", F.coalesce("root", "__fp").alias("root"))
     rooted = cut(rooted)
     # only components of several fingerprints need to look for their smallest id
-    several = rooted.groupBy("root").agg(F.min("low").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").select("root", "least")
-    classes = rooted.join(several, "root", "left").select("__fp", "root", F.coalesce("least", "low").alias("component_id"))
-    return own.join(classes, "__fp")
+    several = rooted.groupBy(F.col("root").alias("r2")).agg(F.min("low").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    classes = join_keys(rooted, cut(several), [F.col("root") == F.col("r2")], weight="n", how="left")
+    classes = cut(classes.select(F.col("__fp").alias("f2"), "n_rows", F.coalesce("least", "low").alias("component_id")))
+    return join_keys(own, classes, [F.col("__fp") == F.col("f2")], weight="n_rows", how="inner")
 
 
 def near_duplicates(

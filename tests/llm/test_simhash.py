@@ -7,7 +7,7 @@ import pytest
 import xxhash
 from pyspark.sql import types as T
 
-from quern.llm import simhash
+from quern.llm import common, simhash
 from quern.llm.queries_simhash import op10_simhash
 
 
@@ -83,13 +83,19 @@ def clusters(n, seed):
     return out
 
 
-def test_components_equal_brute_force(spark):
+@pytest.mark.parametrize("block", [20_000, 8])
+def test_components_equal_brute_force(spark, block, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    monkeypatch.setattr(simhash, "_SAMPLE", 2)
+    if block == 8:  # most keys are shuffled
+        monkeypatch.setattr(simhash, "join_keys", lambda *a, **b: common.join_keys(*a, **b, most=3))
     fps = clusters(600, 5)
     # a dense ball, whose cells hold many
     centre = random.getrandbits(64)
     fps += [centre ^ (1 << i) ^ (1 << j) for i in range(16) for j in range(i)]
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
-    edges = simhash.links(spark.createDataFrame([(f,) for f in set(signed)], "fp long"), "fp", 4)
+    df = spark.createDataFrame([(f,) for f in set(signed)], "fp long")
+    edges = simhash.links(df, "fp", 4)
     got = {r.node & (2**64 - 1): r.root & (2**64 - 1) for r in simhash.components(edges).collect()}
     want = brute(list(enumerate(fps)))
     comp = {i: c for i, _, c in want}
@@ -115,6 +121,20 @@ def test_query_on_odd_tables(spark, tmp_path):
     assert op10_simhash(spark, f"{tmp_path}/b").collect() == []
 
 
+@pytest.mark.parametrize("blocks", [2, 3, 9])
+def test_split_cells_keep_all_meetings(blocks):
+    rng = np.random.default_rng(3)
+    fps = rng.integers(0, 2**63, 400, dtype=np.uint64)
+    who, what = np.r_[np.arange(400), np.arange(100)], np.r_[np.full(300, 7), np.full(100, -9), np.full(100, 12)]
+    w, c = simhash.split_cells(who, what, fps, (np.array([-9, 7]), np.array([blocks, blocks])))
+    met = {}
+    for i, x in zip(w.tolist(), c.tolist()):
+        met.setdefault(x, set()).add(i)
+    for members in (range(300), range(300, 400), range(100)):
+        assert all(any(i in m and j in m for m in met.values()) for i in list(members)[::17] for j in members)
+    assert max(len(m) for x, m in met.items() if x != 12) <= 300 * min(1, 2.6 / blocks)
+
+
 def test_query_on_documents(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
