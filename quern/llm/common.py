@@ -98,6 +98,21 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: What :func:`with_keys` adds. No key is null, so that joins and windows deal rows alike.
+ROW_KEY = ["__id", "__no_id", "__row"]
+
+
+def none_of(df: DataFrame, column: str) -> Column:
+    """A value of the column's type that stands for null beside a flag."""
+    return F.lit(0).cast(df.schema[column].dataType)
+
+
+def with_keys(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``df`` with its id, whether that is null, and the hash of its text (null: empty)."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return df.select("*", F.coalesce(F.col(id_col), none_of(df, id_col)).alias("__id"), F.col(id_col).isNull().alias("__no_id"), F.xxhash64(text).alias("__row"))
+
+
 #: Keys that are broadcast, at most.
 BROADCAST_KEYS = 100_000
 

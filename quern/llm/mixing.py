@@ -19,10 +19,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, let
+from .common import ROW_KEY, WORD, cut, let, none_of, with_keys
 
 #: Finest parts of a source, and so the most shards that it can have.
 CELLS = 1024
+#: Blocks that the target of the smallest source has at least, if it has so many words.
+BLOCKS = 64
 WEIGHTS = (5.0, 2.0, 1.0)
 
 
@@ -104,7 +106,8 @@ def mix(
     ``extra_to`` (words taken once more, from 0, end exclusive; the circular run can
     wrap, then also ``wrap_to``: words before it, from 0), and ``taken`` (words).
 
-    weights: repeating, for sources by code point, null last. Null texts have size 0, and
+    weights: repeating, for sources by code point, null last; block: its most words, fewer
+    where a source is so small that its target would be missed. Null texts have size 0, and
     rows of size 0 take nothing. Rows of equal id and text are interchangeable and each
     count. An empty table gives an empty result. Reruns give the same mix.
     """
@@ -121,9 +124,11 @@ def mix(
     cells = slim.groupBy("source", "cell").agg(F.sum("size").alias("cell_size"))
     sources = cells.groupBy("source").agg(F.sum("cell_size").alias("source_size"), F.collect_list(F.struct("cell", "cell_size")).alias("cells"))
     goals = targets(sources.select("source", "source_size"), share=share, most=most, weights=weights)
-    seats = goals.agg(F.array_sort(F.collect_list(F.struct(F.col("rank").alias("id"), F.col("target").alias("votes")))).alias("p"), F.sum("target").alias("t"))
-    won = seats.select("p", sainte_lague(F.col("p"), F.round(F.col("t") / block)).alias("s")).select(F.explode(F.arrays_zip("p", "s")).alias("x"))
-    won = won.select(F.col("x.p.id").alias("rank"), F.col("x.s").alias("blocks"))
+    # small enough for the smallest source to come near its target
+    fine = F.greatest(F.lit(1), F.least(F.lit(block), F.floor(F.min(F.when(F.col("target") > 0, F.col("target"))) / BLOCKS))).cast("int")
+    seats = goals.agg(F.array_sort(F.collect_list(F.struct(F.col("rank").alias("id"), F.col("target").alias("votes")))).alias("p"), F.sum("target").alias("t"), F.coalesce(fine, F.lit(block)).alias("block"))
+    won = seats.select("p", "block", sainte_lague(F.col("p"), F.round(F.col("t") / F.col("block"))).alias("s")).select("block", F.explode(F.arrays_zip("p", "s")).alias("x"))
+    won = won.select(F.col("x.p.id").alias("rank"), F.col("x.s").alias("blocks"), "block")
     plan = cut(goals.join(won, "rank").join(sources.select(F.col("source").alias("s2"), "cells"), F.col("source").eqNullSafe(F.col("s2"))).drop("s2"))
 
     shards = F.greatest(F.lit(1), F.least(F.lit(CELLS), F.ceil(F.col("source_size") / shard_tokens))).cast("int")
@@ -132,20 +137,20 @@ def mix(
     parts = shard.groupBy("rank").agg(F.array_sort(F.collect_list(F.struct(F.col("shard").alias("id"), F.col("shard_size").cast("double").alias("votes")))).alias("p"))
     quota = parts.join(plan.select("rank", "blocks"), "rank").select("rank", F.explode(F.arrays_zip("p", sainte_lague(F.col("p"), F.col("blocks")).alias("s"))).alias("x"))
     quota = quota.select("rank", F.col("x.p.id").alias("shard"), F.col("x.p.votes").cast("long").alias("shard_size"), F.col("x.s").alias("quota"))
-    where = dealt.select("rank", "source", "source_size", "target", "cell", "shard").join(quota, ["rank", "shard"])
+    where = dealt.select("rank", "source", "source_size", "target", "block", "cell", "shard").join(quota, ["rank", "shard"])
     where = where.withColumnRenamed("source", "s2").withColumnRenamed("cell", "c2")
 
     docs = slim.join(where, F.col("source").eqNullSafe(F.col("s2")) & (F.col("cell") == F.col("c2")))
     order = W.partitionBy("rank", "shard").orderBy(F.xxhash64(F.lit(seed + 1), "id", "row"), "id", "row", "size").rowsBetween(W.unboundedPreceding, 0)
     docs = docs.withColumn("end", F.sum("size").over(order)).withColumn("start", F.col("end") - F.col("size"))
     # the last of a shard's blocks also has what is left over
-    n = F.greatest(F.lit(1), F.floor(F.col("shard_size") / block)).cast("long")
+    n = F.greatest(F.lit(1), F.floor(F.col("shard_size") / F.col("block"))).cast("long")
     docs = docs.withColumn("n", n).withColumn("quota", F.least("quota", (F.col("n") * F.lit(float(most))).cast("long")))
     docs = docs.withColumn("copies", F.floor(F.col("quota") / F.col("n")).cast("long")).withColumn("run", F.col("quota") - F.col("copies") * F.col("n"))
     docs = docs.withColumn("first", F.pmod(F.xxhash64(F.lit(seed + 2), "rank", "shard"), F.col("n")))
 
     def edge(b: Column) -> Column:
-        return F.when(b >= F.col("n"), F.col("shard_size")).otherwise(b * block)
+        return F.when(b >= F.col("n"), F.col("shard_size")).otherwise(b * F.col("block"))
 
     def inside(p: Column) -> Column:
         return F.least(F.greatest(p - F.col("start"), F.lit(0)), F.col("size"))
@@ -163,28 +168,26 @@ def mixed_rows(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     run's side of the cut, joined by spaces. Rows that the mix takes nothing of go.
     """
     plan = mix(df, id_col=id_col, text_col=text_col, source_col=source_col, **options)
-    # rows of equal id and text differ only in what they take
-    nth = F.row_number().over(W.partitionBy("__id", "__row").orderBy("__n"))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    key = [F.col(id_col).alias("__id"), F.xxhash64(text).alias("__row")]
-    rows = df.select("*", *key, F.lit(0).alias("__n")).withColumn("__nth", nth)
-    chosen = plan.where("taken > 0").select(F.col("id").alias("__id"), F.col("row").alias("__row"), "size", "copies", "extra_from", "extra_to", "wrap_to")
-    again = F.row_number().over(W.partitionBy("__id", "__row").orderBy("copies", "extra_from", "extra_to", "wrap_to"))
-    chosen = chosen.withColumn("__nth", again)
-    chosen = chosen.select(*(F.col(c).alias(c if c.startswith("__") else f"__{c}") for c in chosen.columns))
-    c = [F.col(f"b.{k}").eqNullSafe(F.col(f"c.{k}")) for k in ("__id", "__row", "__nth")]
-    both = rows.alias("b").join(chosen.alias("c"), c[0] & c[1] & c[2])
+    parts = ["size", "copies", "extra_from", "extra_to", "wrap_to"]
+    key = [F.coalesce("id", none_of(df, id_col)).alias("__id"), F.col("id").isNull().alias("__no_id"), F.col("row").alias("__row")]
+    of_source = lambda c: (F.coalesce(c, none_of(df, source_col)).alias("__source"), F.col(c).isNull().alias("__no_source"))
+    keys = [*ROW_KEY, "__source", "__no_source"]
+    chosen = plan.where("taken > 0").groupBy(*key, *of_source("source")).agg(F.array_sort(F.collect_list(F.struct(*parts))).alias("__parts"))
+    rows = with_keys(df, id_col, text_col).select("*", *of_source(source_col)).join(chosen, keys)
+    # rows of equal id, text and source differ only in what they take; the join has dealt and sorted them
+    nth = F.row_number().over(W.partitionBy(*keys).orderBy("__row"))
+    both = rows.withColumn("__c", F.get("__parts", nth - 1)).where("__c IS NOT NULL")
 
     def words(low: Column, high: Column) -> Column:
         part = F.slice(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), (low + 1).cast("int"), (high - low).cast("int"))
-        return F.when((low == 0) & (high == F.col("c.__size")), text).otherwise(F.array_join(part, " "))
+        return F.when((low == 0) & (high == F.col("__c.size")), text).otherwise(F.array_join(part, " "))
 
     pieces = [
-        F.array_repeat(F.struct(F.lit(0).cast("long").alias("low"), F.col("c.__size").alias("high")), F.col("c.__copies").cast("int")),
-        F.array(F.struct(F.col("c.__extra_from").alias("low"), F.col("c.__extra_to").alias("high"))),
-        F.array(F.struct(F.lit(0).cast("long").alias("low"), F.col("c.__wrap_to").alias("high"))),
+        F.array_repeat(F.struct(F.lit(0).cast("long").alias("low"), F.col("__c.size").alias("high")), F.col("__c.copies").cast("int")),
+        F.array(F.struct(F.col("__c.extra_from").alias("low"), F.col("__c.extra_to").alias("high"))),
+        F.array(F.struct(F.lit(0).cast("long").alias("low"), F.col("__c.wrap_to").alias("high"))),
     ]
     some = F.filter(F.concat(*pieces), lambda p: p["high"] > p["low"])
-    made = both.select(*(F.col(f"b.{k}").alias(k) for k in df.columns), F.col("c.__size"), F.explode(some).alias("__piece"))
-    out = made.alias("c").withColumn(text_col, words(F.col("__piece.low"), F.col("__piece.high")))
-    return out.select(*df.columns)
+    made = both.select(*df.columns, "__c", F.explode(some).alias("__piece"))
+    return made.withColumn(text_col, words(F.col("__piece.low"), F.col("__piece.high"))).select(*df.columns)

@@ -56,6 +56,16 @@ def docs():
     return out + [out[5]] * 3 + [out[-1]]
 
 
+def test_small_sources_come_near_their_targets(spark):
+    """A tail of sources of a few words beside large ones: none vanishes, none is doubled."""
+    sizes = {f"s{k:03}": n for k, n in enumerate([1, 2, 5, 10, 20, 33, 45, 63, 64, 100] * 6 + [50_000, 20_000])}
+    df = spark.createDataFrame([(i * 1000 + j, " ".join(["w"] * min(50, n - 50 * j)), s) for i, (s, n) in enumerate(sizes.items()) for j in range(-(-n // 50))], "doc_id long, text string, source string")
+    taken = {r.source: r for r in mix(df).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()}
+    want = plain_targets(sizes)
+    for s, r in taken.items():
+        assert abs(r.target - want[s]) < 1e-6 and abs(r.taken - r.target) <= max(1, 0.02 * r.target), (s, r)
+
+
 def check(rows, got):
     sizes, taken = defaultdict(int), defaultdict(int)
     by_id = {(r[0], r[1]): r[2] for r in rows}
