@@ -1,13 +1,16 @@
-"""Licence signatures for :mod:`licenses`: families of names, and the forms they are met in.
+"""Licence signatures for :mod:`licenses`: the sentences of ``license_texts``, written out one by
+one, and families of names in the forms that they are met in.
 
-Patterns match normalised text: lower-case words, one space between them. A rule is a
-family's name in one form; rules are ordered by priority, then by family, then by form.
+Patterns match normalised text: lower-case words, one space between them. Rules are ordered
+by priority, then by family, then by form; sentences come last among equals.
 """
 
 from __future__ import annotations
 
 from typing import NamedTuple
 
+from .license_texts import LIC, TEXTS
+
 
 class Rule(NamedTuple):
     order: int
@@ -18,36 +21,35 @@ class Rule(NamedTuple):
     pattern: str
 
 
-LIC = "licen[sc]es?"
-VER = "(?:v|ver|version)? ?"
+VER = " ?(?:v|ver|version)? ?"
 
 #: (label, keywords, SPDX identifier as words, name). The name must tell the licence by itself.
 FAMILIES: list[tuple[str, str, str, str]] = [
     ("mit", "mit|expat", "mit", f"(?:mit|expat) (?:style )?{LIC}"),
     ("mit-0", "mit", "mit 0", f"mit no attribution(?: {LIC})?"),
-    ("apache-1.1", "apache", "apache 1 1", f"apache (?:software )?{LIC} {VER}1 1"),
-    ("apache-2.0", "apache", "apache 2 0", f"apache (?:software )?(?:{LIC} )?{VER}2(?: 0)?"),
+    ("apache-1.1", "apache", "apache 1 1", f"apache (?:software )?{LIC}{VER}1 1"),
+    ("apache-2", "apache", "apache 2 0", f"apache(?: software)?(?: {LIC})?{VER}2(?: 0)?"),
     ("apache", "apache", "apache", f"apache (?:software )?{LIC}"),
     ("bsd-0-clause", "bsd|0bsd|zero clause", "0bsd", f"(?:bsd zero clause|zero clause bsd|0bsd)(?: {LIC})?"),
     ("bsd-2-clause", "bsd|2 clause|two clause|simplified|freebsd", "bsd 2 clause", f"(?:bsd (?:2|two) clause|(?:2|two) clause bsd|simplified bsd|freebsd)(?: {LIC})?"),
     ("bsd-3-clause", "bsd|3 clause|three clause|new bsd|revised|modified", "bsd 3 clause", f"(?:bsd (?:3|three) clause|(?:3|three) clause bsd|(?:new|revised|modified) bsd)(?: {LIC})?"),
     ("bsd-4-clause", "bsd|4 clause|four clause|original", "bsd 4 clause", f"(?:bsd (?:4|four) clause|(?:4|four) clause bsd|original bsd)(?: {LIC})?"),
     ("bsd", "bsd", "bsd", f"bsd (?:style )?{LIC}"),
-    ("gpl-1.0", "gpl|general public", "gpl 1 0(?: only| or later)?", f"(?:gnu )?(?:gpl|general public {LIC}) {VER}1(?: 0)?"),
-    ("gpl-2.0", "gpl|general public", "gpl 2 0(?: only| or later)?", f"(?:gnu )?(?:gpl|general public {LIC}) {VER}2(?: 0)?"),
-    ("gpl-3.0", "gpl|general public", "gpl 3 0(?: only| or later)?", f"(?:gnu )?(?:gpl|general public {LIC}) {VER}3(?: 0)?"),
+    ("gpl-1.0", "gpl|general public", "gpl 1 0(?: only| or later)?", f"(?:gnu )?(?:gpl|general public {LIC}){VER}1(?: 0)?"),
+    ("gpl-2.0", "gpl|general public", "gpl 2 0(?: only| or later)?", f"(?:gnu )?(?:gpl|general public {LIC}){VER}2(?: 0)?"),
+    ("gpl-3.0", "gpl|general public", "gpl 3 0(?: only| or later)?", f"(?:gnu )?(?:gpl|general public {LIC}){VER}3(?: 0)?"),
     ("gpl", "gpl|general public", "gpl", f"gnu (?:gpl|general public {LIC})"),
-    ("lgpl-2.0", "lgpl|general public", "lgpl 2 0(?: only| or later)?", f"(?:gnu )?(?:lgpl|library general public {LIC}) {VER}2(?: 0)?"),
-    ("lgpl-2.1", "lgpl|general public", "lgpl 2 1(?: only| or later)?", f"(?:gnu )?(?:lgpl|lesser general public {LIC}) {VER}2 1"),
-    ("lgpl-3.0", "lgpl|general public", "lgpl 3 0(?: only| or later)?", f"(?:gnu )?(?:lgpl|lesser general public {LIC}) {VER}3(?: 0)?"),
+    ("lgpl-2.0", "lgpl|general public", "lgpl 2 0(?: only| or later)?", f"(?:gnu )?(?:lgpl|library general public {LIC}){VER}2(?: 0)?"),
+    ("lgpl-2.1", "lgpl|general public", "lgpl 2 1(?: only| or later)?", f"(?:gnu )?(?:lgpl|lesser general public {LIC}){VER}2 1"),
+    ("lgpl-3.0", "lgpl|general public", "lgpl 3 0(?: only| or later)?", f"(?:gnu )?(?:lgpl|lesser general public {LIC}){VER}3(?: 0)?"),
     ("lgpl", "lgpl|general public", "lgpl", f"(?:gnu )?(?:lgpl|lesser general public {LIC})"),
-    ("agpl-3.0", "agpl|affero", "agpl 3 0(?: only| or later)?", f"(?:gnu )?(?:agpl|affero general public {LIC})(?: {VER}3(?: 0)?)?"),
+    ("agpl-3.0", "agpl|affero", "agpl 3 0(?: only| or later)?", f"(?:gnu )?(?:agpl|affero general public {LIC})(?:{VER}3(?: 0)?)?"),
     ("gfdl", "gfdl|documentation", "gfdl 1 [123](?: only| or later)?", f"gnu free documentation {LIC}"),
-    ("mpl-1.1", "mpl|mozilla", "mpl 1 1", f"mozilla public {LIC} {VER}1 1"),
-    ("mpl-2.0", "mpl|mozilla", "mpl 2 0", f"mozilla public {LIC} {VER}2(?: 0)?"),
+    ("mpl-1.1", "mpl|mozilla", "mpl 1 1", f"mozilla public {LIC}{VER}1 1"),
+    ("mpl-2.0", "mpl|mozilla", "mpl 2 0", f"mozilla public {LIC}{VER}2(?: 0)?"),
     ("mpl", "mpl|mozilla", "mpl", f"mozilla public {LIC}"),
-    ("epl-1.0", "epl|eclipse", "epl 1 0", f"eclipse public {LIC} {VER}1(?: 0)?"),
-    ("epl-2.0", "epl|eclipse", "epl 2 0", f"eclipse public {LIC} {VER}2(?: 0)?"),
+    ("epl-1.0", "epl|eclipse", "epl 1 0", f"eclipse public {LIC}{VER}1(?: 0)?"),
+    ("epl-2.0", "epl|eclipse", "epl 2 0", f"eclipse public {LIC}{VER}2(?: 0)?"),
     ("epl", "epl|eclipse", "epl", f"eclipse public {LIC}"),
     ("eupl", "eupl|european", "eupl 1 [012]", f"european union public {LIC}"),
     ("cddl", "cddl|development", "cddl 1 [01]", f"common development and distribution {LIC}"),
@@ -98,6 +100,7 @@ FAMILIES: list[tuple[str, str, str, str]] = [
 #: (priority, confidence, pattern around the identifier ``{i}`` or the name ``{n}``).
 FORMS: list[tuple[int, float, str]] = [
     (1, 1.0, f"spdx {LIC} identifier (?:{{i}})"),
+    (2, 1.0, f"spdx {LIC} identifier (?:[a-z0-9]+ ){{{{1,12}}}}?(?:or|and) (?:{{i}})"),
     (1, 0.98, "(?:opensource|spdx) org (?:licenses|license) (?:{i})"),
     (2, 0.95, "(?:licensed|licenced|released|distributed|published|provided|available) under (?:the )?(?:terms of (?:the )?)?(?:{n})"),
     (3, 0.9, "(?:under|see|per|subject to|governed by|according to|accordance with) (?:the )?(?:terms of (?:the )?)?(?:{n})"),
@@ -106,11 +109,12 @@ FORMS: list[tuple[int, float, str]] = [
 
 
 def rules() -> list[Rule]:
-    """All rules in order: some hundreds."""
+    """All rules in order: some hundreds, of which ``TEXTS`` are those of whole sentences."""
     made = [
         (priority, f, family[0], family[1], confidence, form.format(i=family[2], n=family[3]))
         for f, family in enumerate(FAMILIES)
         for priority, confidence, form in FORMS
     ]
+    made += [(priority, len(FAMILIES) + f, label, keywords, confidence, pattern) for f, (label, priority, confidence, keywords, pattern) in enumerate(TEXTS)]
     made.sort(key=lambda m: (m[0], m[1]))
     return [Rule(k, label, priority, keywords.split("|"), confidence, pattern) for k, (priority, _, label, keywords, confidence, pattern) in enumerate(made)]

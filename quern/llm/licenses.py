@@ -20,7 +20,13 @@ from .common import ascii_lower, let, running
 from .license_rules import Rule, rules
 
 #: No rule or phrase matches a text without one of these.
-STEMS = ("licen", "gpl", "spdx", "apache", "bsd", "mozilla", "cc ", "cc0", "creative commons", "public domain", "proprietary", "rights", "droits", "rechte", "derechos", "wtfpl", "rail", "opensource", "mit no attribution", "want to public")
+STEMS = (
+    *("licen", "gpl", "spdx", "apache", "bsd", "mozilla", "cc ", "cc0", "creative commons", "creativecommons", "public domain", "proprietary", "rights", "droits", "rechte", "derechos", "wtfpl", "rail"),
+    *("opensource", "mit no attribution", "want to public", "software", "copyright", "permission", "as mit", "libpng", "you want to", "a beer", "upl ", "afl ", "artistic control", "mulan", "classpath"),
+    *("of the mpl", "cecill", "etalab", "datenlizenz", "sspl", "use grant", "hosted or managed", "use based restrictions", "gemma", "prohibited", "purposes only", "use only", "al2 0", "asl", "invariant"),
+    *("sil org", "openstreetmap", "reproduced", "contributors", "riservati", "direitos", "rättigheter", "prawa", "права", "without any warranty", "this source code"),
+    *("redistribution", "advertising", "united states government", "qpl", "with mit", "written permission", "written consent", "damages"),
+)
 _DETECTION = "struct<start:int,end:int,priority:int,order:int,label:string,confidence:double>"
 #: Anything between words: ASCII other than digits and letters.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
