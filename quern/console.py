@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
 import statistics
 import sys
 import time
 from collections.abc import Callable
 from pathlib import Path
 
+from pyspark.sql import DataFrame
+
 from . import dialect
 from .engine import Engine
 from .printing import lines
@@ -78,20 +81,59 @@ class Console:
                     self.out(x)
 
 
+def _phases(df: DataFrame) -> dict[str, float]:
+    """Milliseconds that the planner took for each of its phases."""
+    df._jdf.queryExecution().executedPlan()
+    found, it = {}, df._jdf.queryExecution().tracker().phases().iterator()
+    while it.hasNext():
+        phase = it.next()
+        found[phase._1()] = float(phase._2().durationMs())
+    return found
+
+
+def _counters(df: DataFrame) -> tuple[int, int, int]:
+    """Joins, exchanges and rows read of the plan of a query that has run."""
+    said = df._jdf.queryExecution().executedPlan().toString().partition("== Initial Plan ==")[0]
+    return len(re.findall(r"Join(?:\s|LoopJoin)|CartesianProduct", said)), len(re.findall(r"(?<!Reused)Exchange[ (]", said)), _scanned(df._jdf.queryExecution().executedPlan())
+
+
+def _scanned(node) -> int:
+    """Rows that the scans below a node have given out."""
+    metrics, n = node.metrics(), 0
+    if "Scan" in node.nodeName() and metrics.contains("numOutputRows"):
+        n = metrics.apply("numOutputRows").value()
+    if node.nodeName() == "AdaptiveSparkPlan":
+        return n + _scanned(node.executedPlan())
+    below = [node.plan()] if "QueryStage" in node.nodeName() else [node.children().apply(k) for k in range(node.children().size())]
+    return n + sum(map(_scanned, below))
+
+
 def bench(engine: Engine, folder: str, out: str, repeats: int = 1) -> None:
-    """Time every query of a folder; several in a file get letters."""
-    rows = ["query\tmillis\trows"]
+    """Time every query of a folder; several in a file get letters.
+
+    Columns: the medians of all milliseconds and of those of parsing, analysis, optimisation,
+    planning and execution, then result rows, joins, exchanges, and rows that scans read.
+    """
+    rows = ["query\tmillis\trows\tparsing\tanalysis\toptimization\tplanning\texecution\tjoins\texchanges\tscanned"]
     for path in sorted(Path(folder).glob("*.sql")):
         found = dialect.split_script(path.read_text())
         for k, sql in enumerate(found):
             name = path.stem + (chr(ord("a") + k) if len(found) > 1 else "")
-            took, n = [], 0
+            took, n, counts = [], 0, (0, 0, 0)
             for _ in range(repeats):
                 began = time.perf_counter()
                 df = engine.execute(sql)
-                n = df.count() if df is not None else 0
-                took.append(time.perf_counter() - began)
-            rows.append(f"{name}\t{1000 * statistics.median(took):.0f}\t{n}")
+                phases = dict.fromkeys(("parsing", "analysis", "optimization", "planning", "execution"), 0.0)
+                if df is not None:
+                    before = time.perf_counter()
+                    counted = df.groupBy().count()
+                    n = counted.collect()[0][0]
+                    phases["execution"] = 1000 * (time.perf_counter() - before)
+                    phases |= _phases(df)
+                    counts = _counters(counted)
+                took.append([1000 * (time.perf_counter() - began), *phases.values()])
+            middle = [statistics.median(x) for x in zip(*took)]
+            rows.append("\t".join([name, f"{middle[0]:.0f}", str(n), *(f"{x:.0f}" for x in middle[1:]), *map(str, counts)]))
     Path(out).write_text("\n".join(rows) + "\n")
 
 

@@ -17,9 +17,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Partial bindings that a cell extends at a time.
 _FRONTIER = 1_000_000
+#: Rows of a cell, about.
+CELL_ROWS = 4_000_000
 
 
 def shares(sizes: list[int], variables: list[list[str]], order: list[str], cells: int) -> dict[str, int]:
@@ -125,10 +128,11 @@ def join_cell(relations: list[tuple[list[str], list[np.ndarray], np.ndarray]], o
     yield from extend(0, np.zeros((1, 0), np.int64), np.zeros((1, len(tries)), np.int64))
 
 
-def _kernel(variables: list[list[str]], order: list[str], count_only: bool) -> Callable[[pa.Table], pa.Table]:
+def _kernel(variables: list[list[str]], order: list[str], count_only: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Joins cell after cell of rows that lie in order of their cells; results go out block by block."""
     arity = max(map(len, variables))
 
-    def run(cell: pa.Table) -> pa.Table:
+    def join(cell: pa.Table) -> Iterator[pa.RecordBatch]:
         which = cell.column("rel").to_numpy()
         columns = [cell.column(f"c{k}").to_numpy() for k in range(arity)]
         counts = cell.column("m").to_numpy()
@@ -137,11 +141,24 @@ def _kernel(variables: list[list[str]], order: list[str], count_only: bool) -> C
             at = np.flatnonzero(which == r)
             relations.append((own, [columns[k][at] for k in range(len(own))], counts[at]))
         if count_only:
-            return pa.table({"multiplicity": pa.array([sum(int(m.sum()) for _, m in join_cell(relations, order))], pa.int64())})
-        blocks = list(join_cell(relations, order))
-        found = np.concatenate([b for b, _ in blocks]) if blocks else np.zeros((0, len(order)), np.int64)
-        m = np.concatenate([m for _, m in blocks]) if blocks else np.zeros(0, np.int64)
-        return pa.table({**{v: pa.array(np.ascontiguousarray(found[:, k])) for k, v in enumerate(order)}, "multiplicity": pa.array(m)})
+            yield pa.RecordBatch.from_arrays([pa.array([sum(int(m.sum()) for _, m in join_cell(relations, order))], pa.int64())], names=["multiplicity"])
+            return
+        for found, m in join_cell(relations, order):
+            yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(found[:, k])) for k in range(len(order))), pa.array(m)], names=[*order, "multiplicity"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            cell = batch.column("cell").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(cell)) + 1).tolist(), len(cell)]
+            for low, high in zip(cuts, cuts[1:]):
+                if held and high > low and held[-1].column("cell")[0].as_py() != cell[low]:
+                    yield from join(pa.Table.from_batches(held))
+                    held = []
+                if high > low:
+                    held.append(batch.slice(low, high - low))
+        if held:
+            yield from join(pa.Table.from_batches(held))
 
     return run
 
@@ -149,21 +166,26 @@ def _kernel(variables: list[list[str]], order: list[str], count_only: bool) -> C
 def multiway_join(relations: list[tuple[DataFrame, list[str]]], *, cells: int | None = None, sizes: list[int] | None = None, count_only: bool = False) -> DataFrame:
     """Natural join of all ``relations`` on equally named variables.
 
-    relations: (rows, names for its columns in order); the columns are integers, and rows
-    with a null never join. Gives each distinct binding of all variables with its
+    relations: (rows, names for its columns in order); the columns are integers, others are
+    refused, and rows with a null never join. Gives each distinct binding of all variables with its
     ``multiplicity``, the number of combinations of rows that make it; with ``count_only``
     only partial sums of ``multiplicity``.
 
     sizes: about how many rows the relations have, which sets the shares and nothing else;
     they are counted if not given, which computes relations that are not stored once more.
+    A task holds the input of one cell; there are so many ``cells`` that one has about
+    ``CELL_ROWS`` rows at most, were none copied, and one for each shuffle partition at least.
     """
     spark = relations[0][0].sparkSession
-    cells = cells or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sizes = sizes or [df.count() for df, _ in relations]
+    cells = cells or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-sum(sizes) // CELL_ROWS))
     variables = [own for _, own in relations]
     grouped = []
     for df, own in relations:
         if len(own) != len(df.columns) or len(set(own)) != len(own):
             raise ValueError("each column of a relation needs a name of its own")
+        if odd := [f.name for f in df.schema if not isinstance(f.dataType, T.IntegralType)]:
+            raise TypeError(f"columns that are no integers: {odd}")
         cast = df.select(*(F.col(f"`{c}`").cast("long").alias(v) for c, v in zip(df.columns, own))).dropna()
         grouped.append(cast.groupBy(*own).agg(F.count(F.lit(1)).alias("m")))
     names = list(dict.fromkeys(v for own in variables for v in own))
@@ -173,7 +195,7 @@ def multiway_join(relations: list[tuple[DataFrame, list[str]]], *, cells: int |
         rest = [v for v in names if v not in order]
         near = [v for v in rest if any(v in own and set(own) & set(order) for own in variables)] or rest
         order.append(max(near, key=lambda v: (sum(v in own for own in variables), -names.index(v))))
-    held = shares(sizes or [df.count() for df, _ in relations], variables, order, cells)
+    held = shares(sizes, variables, order, cells)
     weight, w = {}, 1
     for v in order:
         weight[v] = w
@@ -192,4 +214,4 @@ def multiway_join(relations: list[tuple[DataFrame, list[str]]], *, cells: int |
         rows = rows.select("cell", F.lit(r).alias("rel"), *(c.alias(f"c{k}") for k, c in enumerate(values)), "m")
         dealt = rows if dealt is None else dealt.unionByName(rows)
     schema = "multiplicity long" if count_only else ", ".join([*(f"{v} long" for v in order), "multiplicity long"])
-    return dealt.groupBy("cell").applyInArrow(_kernel(variables, order, count_only), schema)
+    return dealt.repartition(cells, "cell").sortWithinPartitions("cell").mapInArrow(_kernel(variables, order, count_only), schema)

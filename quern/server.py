@@ -1,4 +1,7 @@
-"""The HTTP endpoint: ``GET /query?sql=...`` gives ``{headers, data}`` or ``{error}``."""
+"""The HTTP endpoint: ``GET /query?sql=...`` gives ``{headers, data, truncated}`` or ``{error}``.
+
+Only queries are run: a page of another site may send requests too.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +9,7 @@ import json
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from urllib.parse import parse_qs, urlsplit
 
+from .dialect import parse
 from .engine import Engine
 from .printing import cell, printable
 
@@ -21,7 +25,7 @@ function show() {
   page = Math.min(Math.max(page, 0), pages - 1);
   const table = document.createElement('table');
   table.append(row(result.headers, 'th'), ...result.data.slice(page * size, page * size + size).map(r => row(r, 'td')));
-  $('out').replaceChildren(table); $('at').textContent = `${page + 1} / ${pages}`;
+  $('out').replaceChildren(table); $('at').textContent = `${page + 1} / ${pages}` + (result.truncated ? ' (cut off)' : '');
 }
 async function run() {
   const got = await (await fetch('/query?sql=' + encodeURIComponent($('sql').value))).json();
@@ -57,11 +61,13 @@ class Handler(BaseHTTPRequestHandler):
         if not sql:
             return self._json(400, {"error": "the sql parameter is missing or empty"})
         try:
+            statement = parse(sql.rstrip("; \n"))
+            if statement.kind != "select" or statement.name is not None:
+                return self._json(403, {"error": "only queries are run over HTTP"})
             df = self.engine.execute(sql.rstrip("; \n"))
-            if df is None:
-                return self._json(200, {"headers": [], "data": []})
-            rows = printable(df.limit(self.max_rows)).collect()
-            self._json(200, {"headers": df.columns, "data": [[cell(v) for v in r] for r in rows]})
+            rows = printable(df.limit(self.max_rows + 1)).collect()
+            data = [[cell(v) for v in r] for r in rows[: self.max_rows]]
+            self._json(200, {"headers": df.columns, "data": data, "truncated": len(rows) > self.max_rows})
         except Exception as e:  # the client gets what went wrong
             self._json(200, {"error": str(e)})
 
@@ -80,7 +86,8 @@ class Handler(BaseHTTPRequestHandler):
 def serve(engine: Engine, port: int = 8080, host: str = "127.0.0.1", max_rows: int = 10_000) -> ThreadingHTTPServer:
     """A server, not yet running: ``serve(engine).serve_forever()``.
 
-    Answers hold ``max_rows`` rows at most, as they go through the driver.
+    Answers hold ``max_rows`` rows at most, as they go through the driver, and tell if there
+    are more.
     """
     return ThreadingHTTPServer((host, port), type("BoundHandler", (Handler,), {"engine": engine, "max_rows": max_rows}))
 

@@ -129,3 +129,13 @@ def test_functions(spark):
     register_functions(spark)
     assert spark.sql("SELECT int_equals(1, 1), int_equals(1, 2), int_equals(1, NULL)").first() == (1, 0, None)
     assert spark.range(1).select(int_divide("-7", "2"), F.lit(1)).first()[0] == -3
+
+
+def test_user_defined_aggregates_and_table_functions(spark):
+    from quern.functions import register_aggregate, register_table_function
+
+    register_aggregate(spark, "spread", lambda x: float(x.max() - x.min()), "double")
+    got = spark.sql("SELECT id % 2 AS k, spread(id) AS s FROM range(10) GROUP BY id % 2 ORDER BY k").collect()
+    assert [tuple(r) for r in got] == [(0, 8.0), (1, 8.0)]
+    register_table_function(spark, "twice", lambda n: [(n, k) for k in range(2)], "n bigint, k int")
+    assert [tuple(r) for r in spark.sql("SELECT t.* FROM range(2) r, LATERAL twice(r.id) t ORDER BY 1, 2").collect()] == [(0, 0), (0, 1), (1, 0), (1, 1)]

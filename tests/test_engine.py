@@ -108,6 +108,9 @@ def test_console(engine, tmp_path):
     assert out[7].startswith("t(a int") and out[8].startswith("Error") and "Physical Plan" in out[-1]
     console.run(f"bench {tmp_path} {tmp_path}/out.tsv")
     assert [x.split("\t")[0] for x in (tmp_path / "out.tsv").read_text().splitlines()] == ["query", "sa", "sb"]
+    head, *rows = [x.split("\t") for x in (tmp_path / "out.tsv").read_text().splitlines()]
+    assert head[:4] == ["query", "millis", "rows", "parsing"] and {len(r) for r in rows} == {len(head)}
+    assert [r[2] for r in rows] == ["1", "1"] and all(int(r[-1]) > 0 for r in rows)
     assert not console.run("quit")
 
 
@@ -119,7 +122,7 @@ def test_printing(spark):
 
 
 def test_server(engine):
-    server = serve(engine, port=0)
+    server = serve(engine, port=0, max_rows=9)
     threading.Thread(target=server.serve_forever, daemon=True).start()
     root = f"http://127.0.0.1:{server.server_address[1]}"
 
@@ -132,7 +135,13 @@ def test_server(engine):
 
     try:
         status, body, headers = get("/query?sql=" + urllib.parse.quote("SELECT 7 / 2 AS q, NULL AS n"))
-        assert status == 200 and json.loads(body) == {"headers": ["q", "n"], "data": [["3", "[null]"]]} and headers["Access-Control-Allow-Origin"] == "*"
+        assert status == 200 and json.loads(body) == {"headers": ["q", "n"], "data": [["3", "[null]"]], "truncated": False} and headers["Access-Control-Allow-Origin"] == "*"
+        ask = lambda sql: get("/query?sql=" + urllib.parse.quote(sql))
+        many = json.loads(ask("SELECT id FROM range(12)")[1])
+        assert len(many["data"]) == 9 and many["truncated"] is True
+        for sql in ("DROP TABLE t", "CREATE TABLE t2 (a int)", "SELECT 1 AS a INTO t3", "CREATE VIEW v AS SELECT 1 AS a"):
+            status, body, _ = ask(sql)
+            assert status == 403 and "only queries" in body
         assert get("/query")[0] == get("/query?sql=%20")[0] == 400
         assert get("/query?sql=x", "POST")[0] == 405 and get("/query", "OPTIONS")[0] == 200 and get("/other")[0] == 404
         assert "error" in json.loads(get("/query?sql=SELEC")[1]) and "<textarea" in get("/")[1]

@@ -9,6 +9,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from quern.operators import multiway
 from quern.operators import anti_join, band_join, multiway_join, salted_join, semi_join
 from quern.operators.multiway import join_cell, shares
 
@@ -61,6 +62,20 @@ def test_multiway(spark, shape):
     assert sum(r[0] for r in multiway_join(frames, cells=8, count_only=True).collect()) == sum(want.values())
 
 
+def test_multiway_takes_integers_only(spark):
+    a = spark.createDataFrame([(1.2, 1)], "x double, y int")
+    with pytest.raises(TypeError, match="no integers"):
+        multiway_join([(a, ["a", "b"])], cells=2)
+
+
+def test_multiway_streams_its_blocks(spark, monkeypatch):
+    """Several cells in a task, and several blocks from a cell."""
+    monkeypatch.setattr(multiway, "_FRONTIER", 5)
+    e = spark.createDataFrame([(i, j) for i in range(12) for j in range(12)], "src int, dst int")
+    found = multiway_join([(e, ["a", "b"]), (e, ["b", "c"]), (e, ["c", "a"])], cells=16).coalesce(2)
+    assert found.count() == found.distinct().count() == 12**3
+
+
 def test_shares():
     assert shares([10**6] * 3, [["a", "b"], ["b", "c"], ["c", "a"]], ["a", "b", "c"], 64) == {"a": 4, "b": 4, "c": 4}
     assert shares([10, 10**6], [["a"], ["a", "b"]], ["a", "b"], 8) == {"a": 8, "b": 1}
