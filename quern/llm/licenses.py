@@ -1,7 +1,7 @@
 """Licence scans (operator 7), DataFrame functions only.
 
-Method: ordered signature rules. A text that has none of a few stems is done at once;
-in others a rule's regex runs only where one of the rule's keywords occurs. Detections are
+Method: ordered signature rules. One pass over a text's words finds the keywords that it
+has; a rule's regex runs only where one of the rule's keywords is among them. Detections are
 intervals of the text; one inside another goes if the outer one's rule has a priority at
 least as high. What is left gives the labels and the score.
 
@@ -17,16 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, let, running
-from .license_rules import Rule, rules
-
-#: No rule or phrase matches a text without one of these.
-STEMS = (
-    *("licen", "gpl", "spdx", "apache", "bsd", "mozilla", "cc ", "cc0", "creative commons", "creativecommons", "public domain", "proprietary", "rights", "droits", "rechte", "derechos", "wtfpl", "rail"),
-    *("opensource", "mit no attribution", "want to public", "software", "copyright", "permission", "as mit", "libpng", "you want to", "a beer", "upl ", "afl ", "artistic control", "mulan", "classpath"),
-    *("of the mpl", "cecill", "etalab", "datenlizenz", "sspl", "use grant", "hosted or managed", "use based restrictions", "gemma", "prohibited", "purposes only", "use only", "al2 0", "asl", "invariant"),
-    *("sil org", "openstreetmap", "reproduced", "contributors", "riservati", "direitos", "rättigheter", "prawa", "права", "without any warranty", "this source code"),
-    *("redistribution", "advertising", "united states government", "qpl", "with mit", "written permission", "written consent", "damages"),
-)
+from .license_rules import Rule, keyword_pattern, rules
+
 _DETECTION = "struct<start:int,end:int,priority:int,order:int,label:string,confidence:double>"
 #: Anything between words: ASCII other than digits and letters.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -61,7 +53,7 @@ def _found(words: Column, pattern: Column) -> Column:
 def _detections(words: Column, table: list[Rule]) -> Column:
     """All detections of all rules, by start, then longest and strongest first."""
     literal = F.from_json(F.lit(json.dumps([r._asdict() for r in table])), _RULES)
-    tried = F.filter(literal, lambda r: F.exists(r["keywords"], lambda k: F.contains(words, F.concat(F.lit(" "), k))) & F.regexp_like(words, _on_words(r["pattern"])))
+    there = F.array_distinct(F.regexp_extract_all(words, F.lit(keyword_pattern(table)), F.lit(1)))
 
     def hits(r: Column) -> Column:
         return F.transform(
@@ -69,7 +61,11 @@ def _detections(words: Column, table: list[Rule]) -> Column:
             lambda p: F.struct(p["start"].alias("start"), (-p["end"]).alias("end"), r["priority"].alias("priority"), r["order"].alias("order"), r["label"].alias("label"), r["confidence"].alias("confidence")),
         )
 
-    return F.array_sort(F.flatten(F.transform(tried, hits)))
+    def tried(there: Column) -> Column:
+        matching = F.filter(literal, lambda r: F.arrays_overlap(r["keywords"], there) & F.regexp_like(words, _on_words(r["pattern"])))
+        return F.when(F.size(there) > 0, F.array_sort(F.flatten(F.transform(matching, hits)))).otherwise(F.array().cast(f"array<{_DETECTION}>"))
+
+    return let(there, tried)
 
 
 def _standing(detections: Column, priorities: int) -> Column:
@@ -121,11 +117,7 @@ def scan(df: DataFrame, *, keys: list[str], text_col: str, phrases: dict[str, st
     priorities = max(r.priority for r in table)
 
     def seen(words: Column) -> Column:
-        gate = F.lit(False)
-        for stem in STEMS:
-            gate = gate | F.contains(words, F.lit(stem))
-        none = F.array().cast(f"array<{_DETECTION}>")
-        ruled = F.when(gate, _standing(_detections(words, table), priorities)).otherwise(none)
+        ruled = _standing(_detections(words, table), priorities)
         return F.struct((_spaces(words) - 1).alias("n_words"), _base(words, phrases).alias("base"), ruled.alias("ruled"))
 
     made = df.select(*keys, let(spaced(F.col(text_col)), seen).alias("__s"))
