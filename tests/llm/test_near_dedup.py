@@ -83,6 +83,39 @@ def test_all_of_overlap_080_are_found(spark, monkeypatch, block, common):
     assert kept(spark, rows) == brute(rows)
 
 
+@pytest.mark.parametrize("hot,large", [(40, 30), (8, 5)])
+def test_hot_shingles_meet_pivots_and_blocks(spark, monkeypatch, hot, large):
+    for name, value in (("_SAMPLE", 1), ("_HOT", hot), ("_LARGE", large), ("_BLOCK", 16), ("_PAIRED", 4)):
+        monkeypatch.setattr(near_dedup, name, value)
+    dealt, plain = [], near_dedup._dealt
+    monkeypatch.setattr(near_dedup, "_dealt", lambda *a: dealt.append(plain(*a)) or dealt[-1])
+    rng = random.Random(7)
+    words = [f"h{i}" for i in range(150)]
+    # a second group and single texts have shingles of the first
+    other = [f"o{i}" for i in range(75)] + words[:75]
+    texts = corpus(6, 90) + [" ".join(edited(rng, other, rng.randint(1, 5))) for _ in range(60)]
+    texts += [" ".join(words[:50] + [f"s{rng.random()}" for _ in range(60)]) for _ in range(20)]
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    assert kept(spark, rows) == brute(rows)
+    assert dealt and not dealt[0].isEmpty()
+
+
+def test_sets_of_one_label_do_not_meet(monkeypatch):
+    monkeypatch.setattr(near_dedup, "_BLOCK", 10)
+    rng = np.random.default_rng(2)
+    n, label = rng.integers(50, 150, 300), rng.choice([1, 1, 1, 2, *range(10, 60)], 300)
+    met = set()
+    for rows in near_dedup._blocks(n, label, (4, 5)):
+        assert len(rows) <= 20 and len(set(label[rows])) > 1
+        met |= {(i, j) for i in rows.tolist() for j in rows.tolist() if i < j}
+    for i in range(300):
+        for j in range(i + 1, 300):
+            if label[i] != label[j] and 5 * min(n[i], n[j]) >= 4 * max(n[i], n[j]):
+                assert (i, j) in met
+    assert not list(near_dedup._blocks(n, np.ones(300, int), (4, 5)))
+
+
 def test_near_sets_share_a_prefix_shingle():
     rng = np.random.default_rng(1)
     for _ in range(300):
