@@ -51,6 +51,34 @@ def test_ddl(engine):
     assert db.tables() == ["u"]
 
 
+@pytest.mark.parametrize(
+    "items,names",
+    [
+        ("a, a, t.a", ["a", "a2", "a3"]),
+        ("count(*), sum(a), sum(c), count(b) AS n", ["count", "sum", "sum2", "n"]),
+        ("1, 2 + 3, 'x'", ["default", "default2", "default3"]),
+        ("DISTINCT b", ["b"]),
+        ("a + 1 x, c AS y, (a) * (2)", ["x", "y", "default"]),
+        ("CASE WHEN a > 1 THEN 2 ELSE 3 END, max(a) OVER (PARTITION BY b)", ["default", "default2"]),
+        ("c AS a, a", ["a", "a2"]),
+        ("*, a AS z", ["a", "b", "c", "d", "z"]),
+        ("1 AS q UNION SELECT 2", ["q"]),
+    ],
+)
+def test_column_names(engine, items, names):
+    engine.execute(DDL)
+    assert engine.query(f"SELECT {items} FROM t").columns == names
+    for bad in ("a AS x, c AS X", "a, c AS a", "*, a AS x, b AS x"):
+        with pytest.raises(ValueError, match="more than once"):
+            engine.query(f"SELECT {bad} FROM t")
+
+
+def test_columns_of_one_name_can_be_stored(engine):
+    engine.execute(DDL)
+    engine.execute("SELECT a, a, count(*) INTO u FROM t GROUP BY a")
+    assert engine.database.schema("u").names == ["a", "a2", "count"]
+
+
 def test_csv(engine, spark, tmp_path):
     engine.execute(DDL)
     (tmp_path / "a.csv").write_text('1|x|1.5|2020-01-31\n2||NULL|\n3|"a|b"|-2|NULL\n4|""|0|1999-12-31\n')
