@@ -18,6 +18,7 @@ class Engine:
     def query(self, sql: str) -> DataFrame:
         """The rows of a query, not yet computed."""
         self.spark.catalog.setCurrentDatabase(self.database.name)
+        dialect.check_tables(sql)
         rows = self.spark.sql(dialect.to_spark(self.spark, sql))
         names = dialect.column_names(sql, rows.columns)
         return rows if names == rows.columns else rows.toDF(*names)

@@ -139,3 +139,12 @@ def test_user_defined_aggregates_and_table_functions(spark):
     assert [tuple(r) for r in got] == [(0, 8.0), (1, 8.0)]
     register_table_function(spark, "twice", lambda n: [(n, k) for k in range(2)], "n bigint, k int")
     assert [tuple(r) for r in spark.sql("SELECT t.* FROM range(2) r, LATERAL twice(r.id) t ORDER BY 1, 2").collect()] == [(0, 0), (0, 1), (1, 0), (1, 1)]
+
+
+def test_table_names_are_used_once():
+    for good in ("t, u", "t a, t b", "t CROSS JOIN u", "t a LEFT JOIN t b ON a.k = b.k AND f(a.k, b.k) JOIN u USING (k)", "(SELECT 1 FROM t) x, t", "d.t, (SELECT 1 FROM t, u) AS v"):
+        D.check_tables(f"SELECT 1 FROM {good} WHERE 1 = 1")
+    D.check_tables("SELECT 1 FROM t UNION SELECT 2 FROM t")
+    for bad in ("t, t", "t a, u AS A", "t JOIN t ON 1 = 1", "t CROSS JOIN u LEFT JOIN t ON 1 = 1", "(SELECT 1) x, t x", "t x, (SELECT 1 FROM u) x"):
+        with pytest.raises(ValueError, match="more than once"):
+            D.check_tables(f"SELECT 1 FROM {bad} WHERE 1 = 1")
