@@ -148,10 +148,12 @@ QUERIES["join_triangle_multiway"] = frames.join_triangle_multiway
 ORACLE_SQL["join_triangle_multiway"] = _TRIANGLES
 _CLIQUE_EDGES = """SELECT DISTINCT v.l_suppkey AS x, w.l_suppkey AS y FROM lineitem v, lineitem w
     WHERE v.l_orderkey = w.l_orderkey AND v.l_suppkey < w.l_suppkey AND v.l_quantity > 40 AND w.l_quantity > 40"""
-QUERIES["clique4_multiway"] = frames.clique4_multiway
-ORACLE_SQL["clique4_multiway"] = f"""WITH e AS ({_CLIQUE_EDGES})
+_CLIQUES = f"""WITH e AS ({_CLIQUE_EDGES})
     SELECT ab.x AS a, count(*) AS cliques FROM e ab, e ac, e ad, e bc, e bd, e cd
     WHERE ab.x = ac.x AND ab.x = ad.x AND ab.y = bc.x AND ab.y = bd.x AND ac.y = bc.y AND ac.y = cd.x AND ad.y = bd.y AND ad.y = cd.y GROUP BY ab.x"""
+_add("clique4", _CLIQUES)
+QUERIES["clique4_multiway"] = frames.clique4_multiway
+ORACLE_SQL["clique4_multiway"] = _CLIQUES
 QUERIES["join_multiway_bag"] = frames.join_multiway_bag
 ORACLE_SQL["join_multiway_bag"] = """SELECT c_custkey AS c, s_suppkey AS s, CAST(c_nationkey AS BIGINT) AS n, count(*) AS multiplicity
     FROM customer, orders, lineitem, supplier WHERE c_custkey = o_custkey AND l_orderkey = o_orderkey AND l_suppkey = s_suppkey AND c_nationkey = s_nationkey GROUP BY ALL"""

@@ -55,7 +55,7 @@ PLAIN = {
 
 
 # a column called like a table whose keys alone are used: left to Spark
-PLAIN["named_like_tables"] = f"SELECT sum(x) AS n FROM e0 x, e1 y, (SELECT a, b, round(w, 3) AS x FROM e2) z WHERE {TRIANGLE}"
+PLAIN["named_like_tables"] = f"SELECT round(sum(x), 6) AS n FROM e0 x, e1 y, (SELECT a, b, w AS x FROM e2) z WHERE {TRIANGLE}"
 
 
 def plan(df):
