@@ -22,7 +22,8 @@ load <table> <csv> <separator> <null>  replace a table's rows with a file's
 exec <file>                          run a script, those after a failed statement too
 explain [<folder> <n> <n>] <query>   how Spark would run a query
 bench <folder> <out>                 time all *.sql of a folder, as a TSV file
-index all                            statistics on all columns
+index all|keys                       statistics on all columns, or on keys
+index <table> <column> ...           lay a table out in order of columns
 compress                             nothing to do: Parquet has dictionaries
 help                                 this text
 quit                                 leave"""
@@ -64,6 +65,9 @@ class Console:
             self.out(df._jdf.queryExecution().toString())
         elif command == "bench":
             bench(self.engine, words[1], words[2])
+        elif command == "index" and len(words) > 2:
+            self.engine.database.sort(words[1], words[2:])
+            self.out(f"{words[1].lower()} lies in order of {', '.join(words[2:])}")
         elif command == "index":
             self.out(f"statistics on {len(self.engine.database.analyze(keys_only=words[1:] == ['keys']))} tables")
         elif command == "compress":

@@ -197,3 +197,19 @@ def test_read_properties(tmp_path):
 
     (tmp_path / "c").write_text("# note\nspark.x = 1\n\ny=a=b\nnothing\n")
     assert read_properties(str(tmp_path / "c")) == {"spark.x": "1", "y": "a=b"}
+
+
+def test_sorted_layout(spark, engine):
+    engine.execute("CREATE TABLE t (a int primary key, d date)")
+    engine.database.store("t", spark.createDataFrame([(k * 7919 % 1000, None if k % 9 == 0 else datetime.date(2020, 1, 1 + k % 28)) for k in range(1000)], engine.database.schema("t")), replace=True)
+    before = sorted(map(tuple, engine.query("SELECT * FROM t").collect()), key=str)
+    said = []
+    console = Console(engine, said.append)
+    console.run("index t D a")
+    assert said == ["t lies in order of D, a"] and engine.database.tables() == ["t"]
+    assert sorted(map(tuple, engine.query("SELECT * FROM t").collect()), key=str) == before
+    assert engine.database.schema("t")["a"].metadata["keys"] == ["primary"]
+    files = engine.query("SELECT min(d) AS low, max(d) AS high FROM t WHERE d IS NOT NULL GROUP BY input_file_name() ORDER BY low").collect()
+    assert all(one.high <= other.low for one, other in zip(files, files[1:]))
+    console.run("index t nope also")
+    assert said[-1] == "Error: no columns ['nope', 'also'] to sort by"
