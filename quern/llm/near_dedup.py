@@ -1,14 +1,20 @@
 """Near-duplicate removal by the overlap of word shingles (a stage of the pipeline).
 
-Method: prefix filtering, not SimHash: fingerprints within a few bits miss many pairs of
-overlap 0.8, and this misses none. Of ``simhash`` it uses shingles and components only. Shingles have one order for all texts,
+Method: SimHash, as in ``simhash``: fingerprints are embedded by their segments' bit counts
+and joined in a grid under Manhattan distance; texts whose fingerprints are connected there
+are compared exactly, by the overlap of their shingles, before they are linked.
+
+Fingerprints within a few bits miss many pairs of overlap 0.8, so an exact search for the
+rest follows, prefix filtering, which misses none. Texts that are linked already do not
+meet in it. Shingles have one order for all texts,
 common ones last. Of two texts whose shingle sets overlap by ``least`` or more, the first
 few shingles in this order, a fifth of them at 0.8, have one in common. So texts meet at
-these shingles. Of what meets, sketches rule out sets that surely differ in too much: two
-sketches differ in no more bits than the sets in shingles. What is left is compared
-exactly, shingle by shingle, before it is linked.
+these shingles. Of what meets in either search, sketches rule out sets that surely differ in
+too much: two sketches differ in no more bits than the sets in shingles. What is left is
+compared exactly, shingle by shingle, before it is linked.
 
-Scale: texts of equal shingles collapse first. A shingle that few texts share gives pairs,
+Scale: texts of equal shingles collapse first. A class of fingerprints is compared as a whole, or
+in chunks with a pivot if it is large. A shingle that few texts share gives pairs,
 one of many gives groups of bounded size, a spanning forest of whose links is kept. Where very
 many texts share one, all are first compared with one of them, its pivot, in chunks: what is
 linked by that is not compared among itself, and the rest is dealt in blocks of bounded
@@ -29,11 +35,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ROW_KEY, cut, none_of, with_keys
-from .simhash import components, shingle_hashes
+from .common import ROW_KEY, cut, fresh_path, join_keys, none_of, with_keys
+from .simhash import _ones, _packed, components, links, shingle_hashes
 
 #: Least overlap of near-duplicates: intersection over union, as a fraction.
 LEAST = (4, 5)
+#: Differing bits of fingerprints that meet in the grid.
+MAX_BITS = 8
+#: Shingles whose bits are counted at a time: 64 bytes each.
+_COUNTED = 65_536
 #: One text in so many is looked at for common shingles, and a shingle is common in so many of them.
 _SAMPLE, _COMMON, _MOST_COMMON = 8, 2, 500_000
 #: Texts at a shingle that are paired; more are grouped, by twice so many at most.
@@ -52,6 +62,18 @@ def shingle_set(text: str | None, width: int) -> np.ndarray:
     return np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(text, width)]))
 
 
+def fingerprints(sets: list[np.ndarray]) -> np.ndarray:
+    """SimHash of every set, as in ``simhash`` but each distinct shingle counts once."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    flat, of = np.concatenate([np.zeros(0, np.uint64), *sets]), np.repeat(np.arange(len(sets)), sizes)
+    ones = np.zeros((len(sets), 64), np.int64)
+    for i in range(0, len(flat), _COUNTED):
+        who = of[i : i + _COUNTED]
+        first = np.flatnonzero(np.r_[True, who[1:] != who[:-1]])
+        ones[who[first]] += np.add.reduceat(_ones(flat[i : i + _COUNTED]), first, axis=0, dtype=np.int32)
+    return np.array(_packed(ones, sizes), np.uint64)
+
+
 def _common(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(shingle, texts of the sample with it) of common shingles, in order of shingles."""
 
@@ -238,6 +260,44 @@ def _compared(met: DataFrame, distinct: DataFrame, texts: DataFrame, width: int,
     return together.mapInArrow(compare, "a long, b long").distinct()
 
 
+def _written(df: DataFrame) -> DataFrame:
+    """``df`` written and read again, so that its size is known.
+
+    A checkpoint keeps the estimated size, for joins a product: components of components
+    would get numbers of millions of digits, which the planner multiplies for minutes.
+    """
+    path = fresh_path(df.sparkSession, "near-dedup")
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def _classes(distinct: DataFrame, max_bits: int) -> DataFrame:
+    """(cell, key, n_cell, label) of texts that share their class of fingerprints with others.
+
+    A class is what the grid join of ``simhash`` connects: fingerprints within ``max_bits``.
+    """
+    fps = cut(distinct.groupBy("fp").agg(F.count(F.lit(1)).alias("n_keys")))
+    tree = _written(components(links(fps, "fp", max_bits)))
+    rooted = cut(fps.join(tree, F.col("fp") == F.col("node"), "left").select("fp", "n_keys", F.coalesce("root", "fp").alias("root")))
+    several = rooted.groupBy(F.col("root").alias("cell")).agg(F.sum("n_keys").alias("n_cell"), F.count(F.lit(1)).alias("n_fps")).where("n_cell > 1")
+    classes = join_keys(rooted, cut(several), [F.col("root") == F.col("cell")], weight="n_fps", how="inner")
+    classes = cut(classes.select(F.col("fp").alias("f2"), "n_keys", "cell", "n_cell"))
+    rows = join_keys(distinct.select("key", "fp"), classes, [F.col("fp") == F.col("f2")], weight="n_keys", how="inner")
+    return rows.select("cell", "key", "n_cell", F.col("key").alias("label"))
+
+
+def _searched(distinct: DataFrame, texts: DataFrame, width: int, least: tuple[int, int], max_bits: int) -> DataFrame:
+    """(a, b): keys of near sets, of those whose fingerprints are connected within ``max_bits``.
+
+    All are found that are connected by near sets inside a class of up to ``_BLOCK`` texts;
+    of a larger class, those that are so inside a chunk and its pivot.
+    """
+    rows = _written(_classes(distinct, max_bits))
+    whole = rows.where(F.col("n_cell") <= _BLOCK).select(F.col("cell").alias("group"), "key")
+    large = _pivoted(rows.where(F.col("n_cell") > _BLOCK))
+    return _written(_compared(whole.union(large), distinct, texts, width, least))
+
+
 def _hot(distinct: DataFrame) -> DataFrame:
     """(cell, n_cell) of shingles at which very many texts meet, by a sample of the texts."""
     few = distinct.where(F.pmod(F.xxhash64("key"), F.lit(_SAMPLE)) == 0).select(F.explode("prefix").alias("cell"))
@@ -246,10 +306,14 @@ def _hot(distinct: DataFrame) -> DataFrame:
 
 
 def _pivoted(rows: DataFrame) -> DataFrame:
-    """(group, key): chunks of the texts at every hot shingle, and its pivot with each."""
+    """(group, key): chunks of the texts of every cell, and its pivot with each.
+
+    Texts that have the pivot's label are linked to it already and left out.
+    """
     chunks = F.greatest(F.lit(1), F.pow(F.lit(2.0), F.ceil(F.log2(F.col("n_cell") / _BLOCK))).cast("long"))
-    pivots = rows.groupBy("cell").agg(F.min(F.struct(F.xxhash64("key").alias("h"), "key"))["key"].alias("pivot"))
-    dealt = rows.join(F.broadcast(pivots), "cell")
+    pivots = rows.groupBy("cell").agg(F.min(F.struct(F.xxhash64("key").alias("h"), "key", "label")).alias("first"))
+    pivots = pivots.select("cell", F.col("first.key").alias("pivot"), F.col("first.label").alias("major"))
+    dealt = rows.join(F.broadcast(pivots), "cell").where("label <> major")
     dealt = dealt.select("key", "pivot", F.xxhash64("pivot", chunks, F.pmod(F.xxhash64("key", F.lit(1)), chunks)).alias("group"))
     return dealt.select("group", "key").union(dealt.select("group", F.col("pivot").alias("key"))).distinct()
 
@@ -261,7 +325,7 @@ def _dealt(rows: DataFrame, tree: DataFrame) -> DataFrame:
     meet, and each meets every block of the major ones; these don't meet each other.
     """
     label = F.coalesce("root", "key").alias("label")
-    rows = cut(rows.join(tree, F.col("key") == F.col("node"), "left").select("cell", "key", "n", "pos", label))
+    rows = cut(rows.drop("label").join(tree, F.col("key") == F.col("node"), "left").select("cell", "key", "n", "pos", label))
     majors = rows.groupBy("cell").agg(F.min(F.struct(F.xxhash64("key").alias("h"), "label"))["label"].alias("major"))
     minor = F.col("label") != F.col("major")
     blocks = lambda what: F.ceil(F.count_if(what) / _LARGE)
@@ -278,8 +342,8 @@ def _dealt(rows: DataFrame, tree: DataFrame) -> DataFrame:
     return rows.select(F.explode(cells).alias("cell"), "key", "n", "pos", "label")
 
 
-def _links(distinct: DataFrame, texts: DataFrame, width: int, least: tuple[int, int]) -> DataFrame:
-    """(a, b): keys of ``distinct`` that connect all those of near sets, and no others."""
+def _rest(distinct: DataFrame, texts: DataFrame, searched: DataFrame, width: int, least: tuple[int, int]) -> DataFrame:
+    """(a, b): keys of ``distinct`` that with ``searched`` connect all those of near sets, and no others."""
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.zeros(0, np.int64)] * 5
@@ -298,29 +362,34 @@ def _links(distinct: DataFrame, texts: DataFrame, width: int, least: tuple[int,
                 held = [h[whole:] for h in held]
         yield out(held)
 
-    cells = distinct.select("key", "n", F.posexplode("prefix").alias("pos", "cell")).select("cell", "key", "n", "pos")
-    hot, found = _hot(distinct), None
-    rows = cells.withColumn("label", F.col("key"))
+    tree = _written(components(searched))
+    few = F.broadcast(tree) if tree.count() <= _FEW else tree
+    labelled = distinct.join(few, F.col("key") == F.col("node"), "left").select("key", "n", "prefix", F.coalesce("root", "key").alias("label"))
+    cells = labelled.select("key", "n", "label", F.posexplode("prefix").alias("pos", "cell")).select("cell", "key", "n", "pos", "label")
+    hot, found, rows = _hot(distinct), None, cells
     if not hot.isEmpty():
         rows = rows.join(F.broadcast(hot), "cell", "left_anti")
-        at_hot = cells.join(F.broadcast(hot), "cell")
-        found = cut(_compared(_pivoted(at_hot), distinct, texts, width, least))
-        rows = rows.unionByName(_dealt(at_hot, components(found)))
+        at_hot = cut(cells.join(F.broadcast(hot), "cell"))
+        found = _written(_compared(_pivoted(at_hot), distinct, texts, width, least))
+        if not found.isEmpty():
+            tree = _written(components(searched.union(found)))
+        rows = rows.unionByName(_dealt(at_hot, tree))
     met = rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(meet, "group long, key long").distinct()
-    links = _compared(met, distinct, texts, width, least)
-    return links if found is None else links.union(found)
+    more = _compared(met, distinct, texts, width, least)
+    return more if found is None else more.union(found)
 
 
 def _pairs(found: list[tuple[int, int]], *names: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=list(names))
 
 
-def keep_one(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: tuple[int, int] = LEAST) -> DataFrame:
+def keep_one(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: tuple[int, int] = LEAST, max_bits: int = MAX_BITS) -> DataFrame:
     """One row of each group of near-duplicates: that of the smallest id, with all its columns.
 
     Near-duplicates are texts whose sets of word shingles overlap (intersection over union)
-    by ``least`` or more, and texts connected through such. All of them are found; shingles
-    are told apart by 64 bits of hash. A text of fewer words than a shingle is one shingle;
+    by ``least`` or more, and texts connected through such. All of them are found, first by
+    fingerprints within ``max_bits``, the rest by prefixes; shingles are told apart by 64 bits of
+    hash. A text of fewer words than a shingle is one shingle;
     texts without words, null ones too, are near each other only.
 
     A null id is larger than all others. Of several rows of the smallest id, the one whose
@@ -329,7 +398,7 @@ def keep_one(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", w
     texts = df.select(F.col(id_col).alias("__id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("__row"), F.col(text_col).alias("__text"))
     common = _common(texts, width)
     schema = T.StructType(
-        [texts.schema["__id"], T.StructField("__row", T.LongType()), T.StructField("key", T.LongType()), T.StructField("n", T.LongType()), T.StructField("prefix", T.ArrayType(T.LongType())), T.StructField("sketch", T.BinaryType())]
+        [texts.schema["__id"], T.StructField("__row", T.LongType()), T.StructField("key", T.LongType()), T.StructField("n", T.LongType()), T.StructField("prefix", T.ArrayType(T.LongType())), T.StructField("sketch", T.BinaryType()), T.StructField("fp", T.LongType())]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -339,13 +408,15 @@ def keep_one(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", w
                 sets = [shingle_set(t, width) for t in part.column("__text").to_pylist()]
                 keys = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
                 prefixes = pa.array([prefix(s, common, least).view(np.int64) for s in sets], pa.list_(pa.int64()))
-                columns = [part.column("__id"), part.column("__row"), pa.array(keys), pa.array([len(s) for s in sets], pa.int64()), prefixes, pa.array([sketch(s) for s in sets], pa.binary())]
+                columns = [part.column("__id"), part.column("__row"), pa.array(keys), pa.array([len(s) for s in sets], pa.int64()), prefixes, pa.array([sketch(s) for s in sets], pa.binary()), pa.array(fingerprints(sets).view(np.int64))]
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     first = F.min(F.struct(F.col("__id").isNull().alias("null"), F.col("__id").alias("id"), F.col("__row").alias("row")))
     own = texts.mapInArrow(run, schema)
-    distinct = cut(own.groupBy("key").agg(first.alias("first"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch")))
-    tree = components(_links(distinct, texts, width, least))
+    distinct = cut(own.groupBy("key").agg(first.alias("first"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch"), F.first("fp").alias("fp")))
+    searched = _searched(distinct, texts, width, least, max_bits)
+    found = _written(searched.union(_rest(distinct, texts, searched, width, least)))
+    tree = _written(components(found))
     rooted = distinct.select("key", "first").join(tree, F.col("key") == F.col("node"), "left")
     kept = rooted.groupBy(F.coalesce("root", "key").alias("root")).agg(F.min("first").alias("k")).select(F.col("k.id").alias("__k"), F.col("k.row").alias("__r")).distinct()
     kept = kept.select(F.coalesce("__k", none_of(df, id_col)).alias("__k"), F.col("__k").isNull().alias("__null"), "__r")

@@ -145,3 +145,41 @@ def test_short_texts_are_not_taken_for_empty_ones(spark):
     assert len(texts) > 3
     rows = [(0, ""), (1, None), (2, " \n"), *((3 + i, t) for i, t in enumerate(texts))]
     assert kept(spark, rows) == [0, *range(3, 3 + len(texts))]
+
+
+def test_fingerprints_of_sets(monkeypatch):
+    monkeypatch.setattr(near_dedup, "_COUNTED", 7)
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 2**64, n, dtype=np.uint64)) for n in (0, 1, 30, 7, 0, 2, 14, 3, 0)]
+    want = [sum(1 << k for k in range(64) if 2 * sum(int(h) >> k & 1 for h in s) > len(s)) for s in sets]
+    assert near_dedup.fingerprints(sets).tolist() == want
+    assert not len(near_dedup.fingerprints([]))
+
+
+@pytest.mark.parametrize("block", [512, 8])
+def test_fingerprints_meet_first(spark, monkeypatch, block):
+    """Links come from the grid join of fingerprints; prefixes are left what it does not find."""
+    monkeypatch.setattr(near_dedup, "_BLOCK", block)
+    met, plain = [], near_dedup._compared
+    monkeypatch.setattr(near_dedup, "_compared", lambda m, *a: met.append(m.distinct().collect()) or plain(m, *a))
+    rng = random.Random(11)
+    texts = []
+    for _ in range(20):
+        words = [f"w{rng.randrange(5000)}" for _ in range(400)]
+        # 14 near copies, and one that shares too little
+        texts += [" ".join(edited(rng, words, rng.randint(0, 1))) for _ in range(14)] + [" ".join(words[:200] + [f"n{rng.random()}" for _ in range(200)])]
+    sets = [shingles(t) for t in texts]
+    rows = list(enumerate(texts))
+    assert kept(spark, rows) == brute(rows)
+    hashes = [near_dedup.shingle_set(t, 5) for t in texts]
+    near = near_pairs(texts)
+    assert len(near) > 1000
+    # every near text was compared in the search by fingerprints; no near two met again by prefixes
+    key = lambda i: near_dedup.xxhash.xxh64_intdigest(hashes[i].tobytes())
+    found = {r.key & (2**64 - 1) for r in met[0]}
+    assert found >= {key(i) for p in near for i in p if sets[p[0]] != sets[p[1]]}
+    assert len(met) == 2
+    close, groups = {frozenset((key(i), key(j))) for i, j in near}, {}
+    for r in met[1]:
+        groups.setdefault(r.group, set()).add(r.key & (2**64 - 1))
+    assert not close & {frozenset(g) for g in groups.values()}
