@@ -148,3 +148,41 @@ def test_table_names_are_used_once():
     for bad in ("t, t", "t a, u AS A", "t JOIN t ON 1 = 1", "t CROSS JOIN u LEFT JOIN t ON 1 = 1", "(SELECT 1) x, t x", "t x, (SELECT 1 FROM u) x"):
         with pytest.raises(ValueError, match="more than once"):
             D.check_tables(f"SELECT 1 FROM {bad} WHERE 1 = 1")
+
+
+@pytest.mark.parametrize("inner", ["SELECT b FROM nin_b WHERE b > 1", "SELECT b FROM nin_b", "SELECT b FROM nin_b WHERE b > 100", "SELECT b FROM nin_b WHERE b IS NULL"])
+@pytest.mark.parametrize(
+    "outer",
+    [
+        "SELECT a, c FROM nin_a WHERE a NOT IN ({0})",
+        "SELECT a, c FROM nin_a x WHERE c BETWEEN 1 AND 9 AND NOT x.a IN ({0}) AND c < 4 ORDER BY c",
+        "SELECT a, c FROM nin_a WHERE a + 1 NOT IN ({0}) AND c NOT IN ({0})",
+        "SELECT a, c FROM (SELECT * FROM nin_a WHERE a NOT IN ({0})) t WHERE c > 0",
+        "WITH w AS ({0}) SELECT a, c FROM nin_a WHERE a NOT IN (SELECT * FROM w)",
+    ],
+)
+def test_not_in_joins_by_its_key(spark, inner, outer):
+    """The rows of Spark's own NOT IN, by a join that doesn't broadcast a side because of nulls."""
+    spark.createDataFrame([(None, 1), (1, 2), (2, 3), (5, 4)], "a int, c int").createOrReplaceTempView("nin_a")
+    spark.createDataFrame([(None,), (2,), (2,), (6,)], "b long").createOrReplaceTempView("nin_b")
+    sql = outer.format(inner)
+    made = spark.sql(D.to_spark(spark, sql))
+    shown = made._jdf.queryExecution().optimizedPlan().toString()
+    assert " OR isnull((" not in shown
+    assert sorted(map(tuple, made.collect()), key=str) == sorted(map(tuple, spark.sql(sql).collect()), key=str)
+
+
+@pytest.mark.parametrize("where", ["c = 1 OR a NOT IN (SELECT b FROM nin_b)", "NOT (c = 1 AND a NOT IN (SELECT b FROM nin_b))", "a NOT IN (SELECT b FROM nin_b LIMIT 1)", "abs(a) NOT IN (SELECT b FROM nin_b)", "a NOT IN (1, 2)"])
+def test_not_in_left_to_spark(spark, where):
+    spark.createDataFrame([(None, 1), (1, 2)], "a int, c int").createOrReplaceTempView("nin_a")
+    spark.createDataFrame([(2,), (6,)], "b long").createOrReplaceTempView("nin_b")
+    sql = f"SELECT a FROM nin_a WHERE {where}"
+    assert D.to_spark(spark, sql) == sql
+
+
+def test_not_in_of_each_row(spark):
+    """A query that refers to the row outside it."""
+    spark.createDataFrame([(None, 1), (1, 2), (2, 3), (5, 4), (6, 9)], "a int, c int").createOrReplaceTempView("nin_a")
+    spark.createDataFrame([(None, 1), (1, 2), (7, 3), (None, 4)], "b long, d int").createOrReplaceTempView("nin_b")
+    sql = "SELECT a, c FROM nin_a WHERE a NOT IN (SELECT b FROM nin_b WHERE d = c)"
+    assert sorted(map(tuple, spark.sql(D.to_spark(spark, sql)).collect())) == [(2, 3), (6, 9)]
