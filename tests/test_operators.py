@@ -109,3 +109,36 @@ def test_salted_and_band(spark):
     left = spark.createDataFrame([(float(i) / 3,) for i in range(-30, 30)], "v double")
     right = spark.createDataFrame([(-3.5, 2.0), (1.0, 1.0), (5.0, 4.0)], "lo double, hi double")
     assert sorted(map(tuple, band_join(left, right, "v", "lo", "hi", 0.7).collect())) == sorted(map(tuple, left.join(right, (left.v >= right.lo) & (left.v <= right.hi)).collect()))
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.tuples(st.integers(-(2**63), 2**63 - 1), st.integers(0, 3)), min_size=1, max_size=30))
+def test_packed_blocks(rows):
+    columns = [np.array([r[k] for r in rows], np.int64) for k in range(2)]
+    assert [c.tolist() for c in multiway.unpack(multiway.pack(columns), 2)] == [c.tolist() for c in columns]
+
+
+def test_packed_blocks_are_small():
+    rng = np.random.default_rng(1)
+    edges = np.unique(rng.integers(0, [1_200_000, 60_000], (50_000, 2)), axis=0)
+    assert len(multiway.pack([edges[:, 0], edges[:, 1], np.ones(len(edges), np.int64)])) < 4 * len(edges)
+
+
+@pytest.mark.parametrize("shape", SHAPES[:4])
+def test_finer_cells(spark, monkeypatch, shape):
+    """Tasks don't follow the shuffle's partitions, and join their cells in parts."""
+    rng = random.Random(len(shape))
+    relations = [([tuple(rng.choice([None, 1, 2, 3, 4, 5, 9]) for _ in own) for _ in range(14)], own) for own in shape]
+    frames = [(spark.createDataFrame(rows, ", ".join(f"x{i} int" for i in range(len(own)))), own) for rows, own in relations]
+    want, _ = brute(relations)
+    monkeypatch.setattr(multiway, "CELL_ROWS", 2)
+    monkeypatch.setattr(multiway, "TASKS", 4)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        found = multiway_join(frames)
+        assert found.rdd.getNumPartitions() <= 4
+        rows = found.collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert {tuple(sorted((k, v) for k, v in r.asDict().items() if k != "multiplicity")): r.multiplicity for r in rows} == dict(want)
