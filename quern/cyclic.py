@@ -138,10 +138,11 @@ def _core(edges: dict[str, set[str]]) -> dict[str, set[str]]:
         del left[ear]
 
 
-def find_cycle(spark: SparkSession, sql: str) -> Cycle | None:
-    """The cyclic core of a query of Spark SQL; None where there is none or it isn't plain.
+def plain_query(spark: SparkSession, sql: str, tables: int, equal_keys: int) -> tuple[str, list[Token], list[Item], list[list[Token]]] | None:
+    """(what is before SELECT, tokens, tables, conditions) of a query of Spark SQL; None where it isn't plain.
 
-    Plain are a single SELECT of inner joins, without sub-queries but in FROM and WITH.
+    Plain are a single SELECT of inner joins, without sub-queries but in FROM and WITH, of at least
+    so many tables and conditions that may set keys equal.
     """
     some = [Token("space", " ") if t.kind == "space" else t for t in tokens(sql)]  # comments would run on
     block = outer_block(some)
@@ -163,12 +164,21 @@ def find_cycle(spark: SparkSession, sql: str) -> Cycle | None:
         items.append(item)
         conjuncts += [c for o in on for c in _conjuncts(o)]
     equal = [c for c in conjuncts if [t.text for _, t in _solid(c)].count("=") == 1 and len(_solid(c)) <= 7]
-    if len(items) < 3 or len(equal) < 3 or len({i.alias for i in items}) < len(items):
+    if len(items) < tables or len(equal) < equal_keys or len({i.alias for i in items}) < len(items):
         return None
     prefix = text(some[:start])
     for item in items:
         item.schema = spark.sql(f"{prefix} SELECT * FROM {item.source}").schema
+    return prefix, some, items, conjuncts
+
 
+def find_cycle(spark: SparkSession, sql: str) -> Cycle | None:
+    """The cyclic core of a query of Spark SQL; None where there is none or it isn't plain."""
+    found = plain_query(spark, sql, 3, 3)
+    if found is None:
+        return None
+    prefix, some, items, conjuncts = found
+    equal = [c for c in conjuncts if [t.text for _, t in _solid(c)].count("=") == 1 and len(_solid(c)) <= 7]
     group: dict[tuple[str, str], tuple[str, str]] = {}
 
     def root(x):
@@ -344,7 +354,7 @@ def run(spark: SparkSession, sql: str) -> DataFrame:
 
 def _routed(spark: SparkSession, sql: str, mode: str, names: list[str]) -> DataFrame | None:
     cycle = find_cycle(spark, sql)
-    if cycle is None or _stars(cycle):
+    if cycle is None or has_stars(cycle.some):
         return None
     filters: dict[str, list[str]] = {a: [] for a in cycle.variables}
     for c in cycle.conjuncts:
@@ -364,8 +374,8 @@ def _routed(spark: SparkSession, sql: str, mode: str, names: list[str]) -> DataF
     return _rewrite(spark, cycle, relations, sizes, filters, names) if pays else None
 
 
-def _stars(cycle: Cycle) -> list[Token]:
-    """Stars of the select list that stand for columns."""
-    block = outer_block(cycle.some)
-    solid = [t for _, t in _solid(cycle.some[slice(*block.clauses["SELECT"])])]
-    return [t for k, t in enumerate(solid) if t.text == "*" and (k == 0 or solid[k - 1].text in (".", ",") or solid[k - 1].word in ("DISTINCT", "ALL"))]
+def has_stars(some: list[Token]) -> bool:
+    """Whether stars of the select list stand for columns."""
+    block = outer_block(some)
+    solid = [t for _, t in _solid(some[slice(*block.clauses["SELECT"])])]
+    return any(True for k, t in enumerate(solid) if t.text == "*" and (k == 0 or solid[k - 1].text in (".", ",") or solid[k - 1].word in ("DISTINCT", "ALL")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cyclic, dialect
+from . import dialect, heavy
 from .catalog import CatalogError, Database
 
 
@@ -19,7 +19,7 @@ class Engine:
         """The rows of a query, not yet computed."""
         self.spark.catalog.setCurrentDatabase(self.database.name)
         dialect.check_tables(sql)
-        rows = cyclic.run(self.spark, dialect.to_spark(self.spark, sql))
+        rows = heavy.run(self.spark, dialect.to_spark(self.spark, sql))
         names = dialect.column_names(sql, rows.columns)
         return rows if names == rows.columns else rows.toDF(*names)
 

@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .. import cyclic, dialect
+from .. import dialect, heavy
 from ..sources import register
 from . import frames
 
@@ -24,7 +24,7 @@ def run_sql(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """A query of the dialect over the tables under ``sf_dir``, whatever views there are."""
     named = {t.word.lower() for t in dialect.tokens(sql) if t.kind == "name"}
     register(spark, sf_dir, [t for t in TABLES if t in named])
-    return cyclic.run(spark, dialect.to_spark(spark, sql))
+    return heavy.run(spark, dialect.to_spark(spark, sql))
 
 
 def _add(name: str, sql: str, oracle: str | None = None) -> None:
