@@ -95,3 +95,17 @@ def test_only_joins_that_blow_up(spark):
     assert routed == {"hot": True, "keys": False, "nothing": False}
     for name in routed:
         spark.catalog.dropTempView(name)
+
+
+def test_sketches_leave_no_shuffles(spark, edges):
+    """Shuffles of sub-queries that a sketch reads are gone when it is done."""
+    import glob
+
+    root = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    kept = lambda: {f for d in root for f in glob.glob(f"{d}/**/shuffle_*", recursive=True)}
+    before = kept()
+    df = spark.sql("SELECT DISTINCT a AS v0, b AS v1 FROM e0").dropna()
+    rows, _ = cyclic._sketches({"x": df}, {"x": [(0,)]})
+    assert rows["x"] > 0
+    assert not kept() - before
+    assert spark.conf.get(cyclic._CLEANUP) == "false"
